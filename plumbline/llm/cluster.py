@@ -6,8 +6,10 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def partitions(spark: SparkSession) -> int:
@@ -61,3 +63,38 @@ class Scratch:
 def part_of(column: str, n: int):
     """A part number for a document id, even for null."""
     return F.pmod(F.xxhash64(F.col(column)), F.lit(n)).cast("int")
+
+
+def map_texts(df: DataFrame, text: str, make, fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
+    """Add columns computed from a text column, batch by batch, in Python.
+
+    ``make()`` runs once in each task and returns a function from the Arrow text
+    column (and the batch) to one Arrow array a field.  ``keep`` are the input
+    columns that stay, all by default.
+    """
+    names = df.columns if keep is None else keep
+    wanted = list(dict.fromkeys([*names, text]))
+    source = df.select(*[F.col(f"`{c}`") for c in wanted])
+    schema = T.StructType([source.schema[c] for c in names] + fields)
+    at, kept = wanted.index(text), [wanted.index(c) for c in names]
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            if batch.num_rows:
+                made = work(batch.column(at), batch)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made], names=[f.name for f in schema])
+
+    return source.mapInArrow(run, schema)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        made = f"__{name}"
+        while made.lower() in taken:
+            made += "_"
+        out.append(made)
+    return out
