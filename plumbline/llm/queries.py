@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontamination, quality, toxicity
+from plumbline.llm import automata, bpe, decontamination, quality, suffixes, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -31,6 +31,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality_rules.*")
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), digests=True)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), digests=True)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.tokenize(docs, tokenizer_path(), keep=["doc_id"], digests=True).select("doc_id", "bpe.*")
@@ -57,5 +65,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_of("doc_id") % 3 == 1).alias("held_out"), "toxicity.score", (F.col("toxicity.score") >= 0.7).cast("int").alias("predicted"), F.col("toxicity.threshold").alias("lang_threshold"), F.col("toxicity.flagged").alias("flagged"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_bpe, op6_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_suffix_array, op5_bpe, op6_decontamination, op8_substring_dedup, op10_toxicity)}
 ORACLES: dict[str, str] = {}
