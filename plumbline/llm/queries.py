@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import automata, bpe, decontamination, quality, suffixes, toxicity
+from plumbline.llm import automata, bpe, decontamination, licenses, lines, neardup, quality, suffixes, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -31,10 +31,20 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "quality_rules.*")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup(table(spark, sf_dir, "documents", "doc_id", "text"), report=("n_lines", "n_removed"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), digests=True)
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.groups(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), digests=True)
 
@@ -58,6 +68,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of ``source/lang/``; short documents with a license license their directory."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    files = docs.withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    return licenses.scan(files, keep=["doc_id", "path"])
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), may_learn=lambda i: crc_of(i) % 3 != 1)
@@ -65,5 +82,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_of("doc_id") % 3 == 1).alias("held_out"), "toxicity.score", (F.col("toxicity.score") >= 0.7).cast("int").alias("predicted"), F.col("toxicity.threshold").alias("lang_threshold"), F.col("toxicity.flagged").alias("flagged"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_suffix_array, op5_bpe, op6_decontamination, op8_substring_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_line_dedup, op4_suffix_array, op5_bpe, op6_decontamination, op7_near_dedup, op8_substring_dedup, op9_license_scan, op10_toxicity)}
 ORACLES: dict[str, str] = {}

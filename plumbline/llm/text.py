@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 20
+MOST_TEXTS = (1 << 16) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
@@ -135,6 +136,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Itera
     n, i = len(offsets) - 1, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
+        j = min(j, i + MOST_TEXTS)
         yield Block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], i)
         i = j
 
