@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import automata, bpe, decontamination, licenses, lines, neardup, quality, suffixes, toxicity
+from plumbline.llm import automata, bpe, decontamination, hpyp, licenses, lines, neardup, quality, suffixes, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -25,6 +25,10 @@ def crc_of(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary"))
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpyp.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     judged = quality.judge(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
@@ -82,5 +86,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_of("doc_id") % 3 == 1).alias("held_out"), "toxicity.score", (F.col("toxicity.score") >= 0.7).cast("int").alias("predicted"), F.col("toxicity.threshold").alias("lang_threshold"), F.col("toxicity.flagged").alias("flagged"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_line_dedup, op4_suffix_array, op5_bpe, op6_decontamination, op7_near_dedup, op8_substring_dedup, op9_license_scan, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_line_dedup, op4_suffix_array, op5_bpe, op6_decontamination, op7_near_dedup, op8_substring_dedup, op9_license_scan, op10_toxicity)}
 ORACLES: dict[str, str] = {}
