@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -27,9 +29,10 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped or str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     _shipped.add(app)
-    with tempfile.TemporaryDirectory() as folder:
-        archive = Path(folder) / "plumbline.zip"
-        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
-            for path in sorted(root.rglob("*.py")):
-                z.write(path, path.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(archive))
+    folder = tempfile.mkdtemp(prefix="plumbline-")  # the driver serves the file from here to executors that come later
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "plumbline.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
