@@ -57,10 +57,14 @@ def _eights(data: np.ndarray) -> np.ndarray:
 
 
 class Sorter:
-    """Sorts suffixes of one text (bytes 1 to 255; 0 is below all and ends a suffix)."""
+    """Sorts suffixes of one text; what follows its end is below all bytes.
 
-    def __init__(self, data: np.ndarray):
+    With ``depth``, suffixes that agree for so many bytes need no order.
+    """
+
+    def __init__(self, data: np.ndarray, depth: int | None = None):
         self.n = len(data)
+        self.depth = depth or self.n
         self.words = _eights(data)
         self.rank = np.zeros(self.n + PERIOD + 1, np.int64)  # 0: beyond the end
         at = np.flatnonzero(_IN[np.arange(self.n) % PERIOD])
@@ -81,21 +85,19 @@ class Sorter:
         return out
 
     def _rank_sample(self, at: np.ndarray) -> None:
-        """Ranks by the first PERIOD bytes, then twice as many each round, until none are equal."""
+        """Ranks by the first PERIOD bytes, then twice as many each round, until none are equal or the depth is reached."""
         keys = self.keys(at)
         order = np.lexsort(keys[::-1])
         name = np.cumsum(self._new([k[order] for k in keys]))
         self.rank[at[order]] = name
         step = PERIOD
-        while name[-1] < len(at):
+        while name[-1] < len(at) and step < self.depth:
             after = np.where(at + step < self.n, self.rank[np.minimum(at + step, self.n)], 0)
             own = self.rank[at]
             order = np.lexsort((after, own))
             name = np.cumsum(self._new([own[order], after[order]]))
             self.rank[at[order]] = name
             step *= 2
-            if step > self.n:
-                break
 
     def sort(self, at: np.ndarray, aligned: bool = False) -> np.ndarray:
         """The given positions in the order of their suffixes.
@@ -152,7 +154,7 @@ def resolve(c: repeats.Contested) -> np.ndarray:
     which = np.repeat(np.arange(len(size)), c.windows)
     step = np.arange(len(which)) - np.repeat(np.cumsum(c.windows) - c.windows, c.windows)
     at = begin[which] + step
-    sorter = Sorter(data)
+    sorter = Sorter(data, c.length)
     order = sorter.sort(at, aligned=True)
     number = np.zeros(len(data), np.int64)
     number[at] = np.arange(len(at))
