@@ -237,10 +237,11 @@ def seat(n: int):
         context, word = keys >> 32, keys & 0xFFFFFFFF
         mean = seat_contexts(context, word, customers, 1 / n, bucket)
         value = (customers - DISCOUNT * mean).astype(np.float32)
+        few = np.minimum(customers, 2).astype(np.uint8)
         spot = 0
         for s in sent:
             size = len(s[3]) // 6
-            yield from rows([(int(np.frombuffer(s[0], np.int64)[0]), VALUES, pack(np.array([bucket]), value[at[spot : spot + size]]))])
+            yield from rows([(int(np.frombuffer(s[0], np.int64)[0]), VALUES, pack(np.array([bucket]), few[own := at[spot : spot + size]], value[own[few[own] == 2]]))])
             spot += size
         for keys_, tables, slot in ((words >> U64(16), np.bincount(word, mean), 1), (contexts >> U64(16), np.bincount(context, mean), 2)):
             order, cut = deal((keys_ % U64(n)).astype(np.int32), n)
@@ -281,12 +282,16 @@ def answer(vocabulary: int):
         top = served - TOP_DISCOUNT * mean
         for part, own in wanted:
             own = np.frombuffer(own, U64)
-            out.append((int(np.frombuffer(part, np.int64)[0]), FACTS, pack(np.array([bucket]), _of(words, count, own).astype(np.int64), _of(keys, top, own & M48), _of(contexts, opened, own & M48).astype(np.float32))))
+            out.append((int(np.frombuffer(part, np.int64)[0]), FACTS, pack(np.array([bucket]), _narrow(_of(words, count, own)), _of(keys, top, own & M48).astype(np.float32), _of(contexts, opened, own & M48).astype(np.float32))))
         yield from rows(out)
 
     return run
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    return counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64)
+
+
 def _of(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Values by key; 0 for others."""
     if not len(keys):
@@ -315,12 +320,16 @@ def score_part(n: int, hot, modulus: int, remainder: int, total: int, vocabulary
         order, cut, a, _ = pair_order(p, hot.value, n)
         value = np.zeros(len(p.pairs))
         for k, v in values.items():
-            value[order[cut[k] : cut[k + 1]]] = np.frombuffer(v[0], np.float32)
+            few = np.frombuffer(v[0], np.uint8)
+            own = (1 - DISCOUNT) * few
+            own[few == 2] = np.frombuffer(v[1], np.float32)
+            value[order[cut[k] : cut[k + 1]]] = own
         order, cut = word_order(p, n)
         count, top, tables = np.zeros(len(p.words), np.int64), np.zeros(len(p.words)), np.zeros(len(p.words))
         for k, v in facts.items():
-            for out, data, kind in zip((count, top, tables), v, (np.int64, np.float64, np.float32), strict=True):
-                out[order[cut[k] : cut[k + 1]]] = np.frombuffer(data, kind)
+            own = order[cut[k] : cut[k + 1]]
+            for out, data, kind in zip((count, top, tables), v, (np.uint32 if len(v[0]) == 4 * len(own) else np.int64, np.float32, np.float32), strict=True):
+                out[own] = np.frombuffer(data, kind)
         one = (top + (TOP_STRENGTH + TOP_DISCOUNT * opened) / (vocabulary + 1)) / (TOP_STRENGTH + served)
         seen = np.where(p.words == START, texts, count)
         context, word = p.pairs >> 32, p.pairs & 0xFFFFFFFF
