@@ -15,18 +15,16 @@ of ``percent`` / 100 or more; near-duplicate groups are the components.
    ``PERMUTATIONS`` permutations, with as many times the bands.
 2. Documents with equal sets (a 128-bit digest of the set and its size) collapse to
    the least id; a group of copies of any size takes part once.
-3. In each bucket only the least and the greatest member are hubs: every member is
-   a candidate of the two, so candidate edges are at most twice the members.
+3. In each bucket one member is the hub of a star: candidate edges are fewer than the
+   members.  The hub is drawn by the bucket's key, so that a document meets another
+   hub in each of its buckets (a pair at 0.8 shares 13 on average): a link that one
+   hub would hide shows in the next bucket.
 4. Candidates are confirmed on full sets, read from the texts.  First each document
-   is compared with the hub it shares most buckets with; the other candidates only
-   where the links so far do not already connect the two.  A hub's candidates are
-   dealt in chunks, each streamed past the hub's set, so a hub's group is never in
-   one task.
-5. A hub can hide a link: the texts of a bucket may be similar to one another where
-   the hub falls just short.  So where a compared pair was a near miss (``NEAR`` percent
-   or more) and its ends stay unconnected, the members of the smaller component are
-   compared with the members of the other that share ``LEAST_SHARED`` buckets or more
-   (a pair at 0.8 shares 13 on average).  This repeats until no pair is new.
+   is compared with the least of its hubs; the other candidates only where the links
+   so far do not already connect the two.  A hub's candidates are dealt in chunks,
+   each streamed past the hub's set, so a hub's group is never in one task.
+5. Buckets that still hold several components draw other hubs, until a draw finds no
+   link (``MOST_DRAWS`` is never met in practice).
 
 Edge cases: a null or empty text has the empty set; rows of equal id are one node,
 linked as soon as one of them is; a null id has no component (null); an empty table
@@ -45,7 +43,7 @@ from plumbline.llm.cluster import Scratch, partitions
 from plumbline.llm.graph import components
 
 SHINGLE, PERCENT, BINS, BANDS, CHUNK = 5, 80, 128, 32, 128
-NEAR, LEAST_SHARED, SMALL, PERMUTATIONS = 60, 3, 384, 3
+SMALL, PERMUTATIONS, MOST_DRAWS = 384, 2, 20
 U64 = np.uint64
 
 
@@ -74,14 +72,17 @@ def _alternatives(bins: int, rounds: int) -> np.ndarray:
 
 def densify(signature: np.ndarray, filled: np.ndarray) -> np.ndarray:
     """Fill empty bins of the rows that have any filled one."""
-    out, left = signature.copy(), ~filled & filled.any(1)[:, None]
-    for source in _alternatives(signature.shape[1], 64 * signature.shape[1]):
-        if not left.any():
+    n, bins = signature.shape
+    out, values, full = signature.ravel().copy(), signature.ravel(), filled.ravel()
+    left = np.flatnonzero(~full & np.repeat(filled.any(1), bins))
+    for source in _alternatives(bins, 64 * bins):
+        if not len(left):
             break
-        take = left & filled[:, source]
-        out[take] = signature[:, source][take]
-        left &= ~take
-    return out
+        take = left - left % bins + source[left % bins]
+        have = full[take]
+        out[left[have]] = values[take[have]]
+        left = left[~have]
+    return out.reshape(n, bins)
 
 
 def sketch(block: tx.Block, shingle: int, bins: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,8 +101,8 @@ def sketch(block: tx.Block, shingle: int, bins: int, bands: int) -> tuple[np.nda
     small = size[own] < SMALL
     for k in range(1, PERMUTATIONS):
         again = tx.mix(value[small] + U64(k))
-        order = np.argsort((own[small].astype(U64) << U64(48)) | (again >> U64(16)))
-        keys.append(_band_keys(own[small][order], again[order], block.n, bins, bands, k))
+        again = np.sort((own[small].astype(U64) << U64(48)) | (again >> U64(16)))
+        keys.append(_band_keys((again >> U64(48)).astype(np.int64), again << U64(16), block.n, bins, bands, k))
     return size, digest, np.concatenate(keys, axis=1)
 
 
@@ -136,7 +137,7 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (``a`` the hub, ``b``) whose sets are similar (``linked``) or nearly so, by their texts."""
+    """The pairs (``a`` the hub, ``b``) whose sets are similar, by their texts."""
     n = partitions(pairs.sparkSession)
     chunked = pairs.join(pairs.groupBy("a").agg((1 + F.count("*") / CHUNK).cast("long").alias("chunks")), "a").withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks")).select("a", "chunk", "b")
     members = chunked.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "chunk", F.lit(1).alias("side"), "b", "text")
@@ -146,7 +147,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
         hub, held = None, None
         for batch in batches:
             a, chunk, side, b = (batch.column(i).to_numpy() for i in range(4))
-            out: list[tuple[int, int, bool]] = []
+            out: list[tuple[int, int]] = []
             for block in tx.blocks(batch.column(4)):
                 packed = _sets(block, shingle)
                 cut = np.searchsorted(packed >> U64(48), np.arange(block.n + 1, dtype=U64))
@@ -158,20 +159,21 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
                     elif hub == (a[row], chunk[row]):
                         both = len(np.intersect1d(held, values, assume_unique=True))
                         either = len(held) + len(values) - both
-                        if 100 * both >= min(NEAR, percent) * either:
-                            out.append((a[row], b[row], 100 * both >= percent * either))
+                        if 100 * both >= percent * either:
+                            out.append((a[row], b[row]))
             if out:
-                x, y, z = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z, pa.bool_())], names=["a", "b", "linked"])
+                x, y = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    return members.unionByName(hubs).repartition(n, "a", "chunk").sortWithinPartitions("a", "chunk", "side").mapInArrow(run, "a long, b long, linked boolean")
+    return members.unionByName(hubs).repartition(n, "a", "chunk").sortWithinPartitions("a", "chunk", "side").mapInArrow(run, "a long, b long")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Candidate edges of buckets (``key``, ``id``): every member with the least and the greatest, and in how many buckets."""
-    hubs = members.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    star = members.join(hubs, "key").select("id", F.explode(F.array("least", "most")).alias("hub")).where("id <> hub")
-    return star.groupBy(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).agg(F.count("*").alias("buckets"))
+def _stars(members: DataFrame, draw: int = 0) -> DataFrame:
+    """Candidate edges of buckets (``key``, ``id``): every member with the hub, the one whose id differs least from the key in its upper bits."""
+    salt = F.col("key") if not draw else F.xxhash64(F.lit(draw), "key")
+    drawn = F.min(F.col("id").bitwiseXOR(salt))
+    hubs = members.groupBy("key").agg(drawn.alias("least"), F.count("*").alias("n")).where("n > 1").select("key", F.col("least").bitwiseXOR(salt).alias("hub"))
+    return members.join(hubs, "key").where("id <> hub").select("hub", "id").distinct()
 
 
 def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -184,45 +186,34 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shing
     leads = filled.groupBy(*sets).agg(F.min("id").alias("lead"))
     member = scratch.cut(sketches.join(leads, sets, "left").select("id", "n", F.coalesce("lead", "id").alias("lead")))
     alone = filled.join(leads.where("lead is not null").select(*sets, F.col("lead").alias("id")), [*sets, "id"], "left_semi")
-    buckets = scratch.cut(alone.select("id", F.explode("bands").alias("key")).distinct())
-    edges = scratch.cut(_stars(buckets))
-    involved = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = scratch.cut(read.join(involved, "id", "left_semi"))
-    best = edges.groupBy("b").agg(F.max(F.struct("buckets", F.negate("a").alias("a")))["a"].alias("a")).select(F.negate("a").alias("a"), "b")
-    seen = scratch.cut(confirm(best, texts, shingle, percent))
-    asked, rest, known = best, edges.select("a", "b").join(best, ["a", "b"], "left_anti"), None
-    while True:
-        known = components(seen.where("linked"), scratch)
-        fresh = scratch.cut(_apart(rest, known))
-        if not fresh.isEmpty():
-            asked = asked.unionByName(fresh)
-            seen = seen.unionByName(scratch.cut(confirm(fresh, texts, shingle, percent)))
-            known = components(seen.where("linked"), scratch)
-        misses = scratch.cut(_apart(seen.where("not linked").select("a", "b"), known, keep=True))
-        if misses.isEmpty():
-            break
-        rest = _around(misses, buckets, known).join(asked, ["a", "b"], "left_anti")
-        if rest.isEmpty():
+    buckets = alone.select("id", F.explode("bands").alias("key")).repartition(partitions(docs.sparkSession), "key")
+    stars = scratch.cut(_stars(buckets))
+    texts = scratch.cut(read.join(stars.select(F.explode(F.array("hub", "id")).alias("id")).distinct(), "id", "left_semi"))
+    best = stars.groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    links = scratch.cut(confirm(best, texts, shingle, percent))
+    known = components(links, scratch)
+    asked, rest = best, _apart(stars.select(F.col("hub").alias("a"), F.col("id").alias("b")), known).join(best, ["a", "b"], "left_anti")
+    mixed = None
+    for draw in range(1, MOST_DRAWS + 1):
+        rest = scratch.cut(rest)
+        more = scratch.cut(confirm(rest, texts, shingle, percent))
+        if more.isEmpty():
             break
+        asked, links = asked.unionByName(rest), links.unionByName(more)
+        known = components(links, scratch)
+        grouped = (buckets if mixed is None else mixed).join(known.withColumnRenamed("component", "g"), "id", "left").select("key", "id", F.coalesce("g", "id").alias("g"))
+        several = grouped.groupBy("key").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most").select("key")
+        mixed = scratch.cut(grouped.join(several, "key", "left_semi").select("key", "id"))
+        again = _stars(mixed, draw).select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        rest = _apart(again, known).join(asked, ["a", "b"], "left_anti")
+    scratch.drop(texts)
+    scratch.drop(sketches)
     found = member.join(known.withColumnRenamed("id", "lead"), "lead", "left")
     return found.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "lead").alias("component_id"))
 
 
-def _apart(pairs: DataFrame, known: DataFrame, keep: bool = False) -> DataFrame:
-    """The pairs that the components do not connect; with ``keep`` their components."""
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs that the components do not connect."""
     of = lambda n: known.select(F.col("id").alias(n), F.col("component").alias(f"{n}_group"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", *[F.coalesce(f"{n}_group", n).alias(f"{n}_group") for n in ("a", "b")])
-    apart = both.where("a_group <> b_group")
-    return (apart.select("a_group", "b_group") if keep else apart.select("a", "b")).distinct()
-
-
-def _around(misses: DataFrame, buckets: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs between the members of nearly linked components that share enough buckets."""
-    sizes = known.groupBy(F.col("component").alias("g")).agg(F.count("*").alias("size"))
-    of = lambda n: sizes.select(F.col("g").alias(f"{n}_group"), F.col("size").alias(f"{n}_size"))
-    both = misses.join(of("a"), "a_group", "left").join(of("b"), "b_group", "left").withColumn("swap", F.coalesce("a_size", F.lit(1)) > F.coalesce("b_size", F.lit(1)))
-    small = both.select(F.when(F.col("swap"), F.col("b_group")).otherwise(F.col("a_group")).alias("g"), F.when(F.col("swap"), F.col("a_group")).otherwise(F.col("b_group")).alias("other")).distinct()
-    grouped = buckets.join(known.withColumnRenamed("component", "g"), "id", "left").select("key", "id", F.coalesce("g", "id").alias("g"))
-    queries = grouped.join(small, "g").select("key", F.col("id").alias("a"), F.col("other").alias("g"))
-    met = queries.join(grouped.withColumnRenamed("id", "b"), ["key", "g"])
-    return met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_SHARED).select("a", "b")
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
