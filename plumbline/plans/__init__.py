@@ -1,0 +1 @@
+"""Plans of the review-integrity engine."""
