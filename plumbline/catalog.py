@@ -1,6 +1,363 @@
-"""The engine's queries over the driver's tables, and their SQL."""
+"""The engine's queries over the driver's tables, and the same in SQL written apart from them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline import oracles
+from plumbline.functions import text as tx
+from plumbline.operators import corpus, scoring, signals, validation
+from plumbline.sources import pages
+from plumbline.sources.adapters import view
+
+AS_OF = "2026-01-01"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(*tables: str):
+    """Register a function of DataFrames under its name."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return f(*[view(spark, sf_dir, t) for t in tables])
+
+        QUERIES[f.__name__] = run
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.floor(c * 1e6 + 0.5) / 1e6
+
+
+T = F.col("text")
+
+
+@query("v_reviews")
+def text_tokens(r):
+    return r.select("review_id", F.explode(tx.tokens(T)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("v_reviews")
+def text_word_count(r):
+    return r.select("review_id", tx.word_count(T).alias("words"), tx.spaced_words(T).alias("spaced"))
+
+
+@query("v_reviews")
+def text_diversity(r):
+    return r.select("review_id", r6(tx.diversity(T)).alias("diversity"))
+
+
+@query("v_reviews")
+def text_sentence_variation(r):
+    return r.select("review_id", r6(tx.sentence_variation(T)).alias("variation"), r6(tx.burstiness(T)).alias("burstiness"))
+
+
+@query("v_reviews")
+def text_specificity(r):
+    return r.select("review_id", tx.specifics(T).alias("specifics"), tx.specifics_short(T).alias("specifics_short"), r6(tx.contraction_rate(T)).alias("contractions"))
+
+
+@query("v_reviews")
+def phrase_hits(r):
+    return r.select("review_id", tx.phrase_hits(T, tx.INCENTIVE_PHRASES).alias("incentives"), tx.phrase_hits(T, tx.TEMPLATE_PHRASES).alias("templates"))
+
+
+@query("v_reviews")
+def trigram_jaccard_pairs(r):
+    a = r.select("asin", F.col("review_id").alias("a"), F.col("seq").alias("a_seq"), tx.trigrams(T).alias("ga"))
+    b = r.select("asin", F.col("review_id").alias("b"), F.col("seq").alias("b_seq"), tx.trigrams(T).alias("gb"))
+    return a.join(b, "asin").where("a_seq < b_seq").select("a", "b", r6(tx.jaccard(F.col("ga"), F.col("gb"))).alias("sim")).where("sim >= 0.55D")
+
+
+@query("v_reviews")
+def shingle_hashes(r):
+    return r.select(F.explode(tx.shingle_hashes(T)).alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
+
+
+@query("v_reviews")
+def review_key(r):
+    return r.select("review_id", tx.review_key(F.col("rating"), F.col("review_date"), T).alias("review_key"))
+
+
+@query("part")
+def title_hash(p):
+    return p.select("p_partkey", tx.title_hash(F.col("p_name")).alias("title_hash"))
+
+
+@query("v_reviews")
+def reviewer_hash(r):
+    return r.select("reviewer_id").distinct().select("reviewer_id", tx.keyed_hash(F.col("reviewer_id"), "pepper").alias("reviewer_hash"))
+
+
+@query("v_snapshots")
+def sig_distribution(s):
+    return signals.distribution(s).select("asin", "status", r6("score").alias("score"), r6("confidence").alias("confidence"))
+
+
+@query("v_reviews")
+def sig_verified(r):
+    return r.select("review_id", r6(signals.verified_delta()).alias("delta")).where("delta is not null")
+
+
+@query("v_reviews")
+def sig_phrasing(r):
+    return r.select("review_id", r6(signals.phrasing_delta()).alias("delta")).where("delta is not null")
+
+
+@query("v_reviews")
+def sig_duplication(r):
+    return signals.duplication(r).select("review_id", "matches", r6("peak").alias("peak"), r6("delta").alias("delta"))
+
+
+@query("v_reviews")
+def sig_burst(r):
+    return signals.burst(r).select("review_id", r6("share").alias("share"), r6("delta").alias("delta"))
+
+
+@query("v_reviews")
+def sig_depth(r):
+    return r.select("review_id", r6(signals.depth_delta()).alias("delta")).where("delta is not null")
+
+
+@query("v_reviews", "v_listings")
+def sig_helpfulness(r, s):
+    return r.join(s.select("asin", "total_ratings"), "asin").select("review_id", signals.helpfulness_delta(AS_OF).alias("delta")).where("delta is not null")
+
+
+@query("v_reviews")
+def text_coverage(r):
+    return signals.text_failed(r).select("asin", "n", r6("coverage").alias("coverage"), "text_failed")
+
+
+@query("v_reviews", "v_listings")
+def review_suspicion(r, s):
+    return scoring.assess(r, s, AS_OF).select("asin", "review_id", r6("suspicion").alias("suspicion"))
+
+
+@query("v_reviews", "v_listings")
+def signal_summary(r, s):
+    return scoring.summaries(scoring.assess(r, s, AS_OF)).select("asin", "signal", "flagged", "n", "status", r6("score").alias("score"), r6("confidence").alias("confidence"))
+
+
+def _analysis(r, s):
+    return scoring.analyse(r, s, AS_OF)
+
+
+@query("v_reviews", "v_listings")
+def analysis(r, s):
+    a = _analysis(r, s)
+    return a.select("asin", "sample_size", "trust_score", "grade", r6("displayed_rating").alias("displayed_rating"), r6("adjusted_rating").alias("adjusted_rating"), "discounted_count", "concerning_signals", "confidence", "insufficient_data", r6("mean_suspicion").alias("mean_suspicion"))
+
+
+@query("v_reviews", "v_listings")
+def trust_score(r, s):
+    return _analysis(r, s).select("asin", "trust_score", "insufficient_data")
+
+
+@query("v_reviews", "v_listings")
+def adjusted_rating(r, s):
+    return _analysis(r, s).select("asin", r6("displayed_rating").alias("displayed_rating"), r6("adjusted_rating").alias("adjusted_rating"))
+
+
+@query("v_reviews", "v_listings")
+def grade_distribution(r, s):
+    return _analysis(r, s).groupBy("grade").agg(F.count("*").alias("listings"))
+
+
+@query("v_reviews", "v_listings")
+def grade_cap(r, s):
+    return _analysis(r, s).select("asin", "grade", scoring.grade_of(F.col("trust_score")).alias("uncapped"), "discounted_count", "concerning_signals")
+
+
+@query("v_reviews", "v_listings")
+def confidence_level(r, s):
+    return _analysis(r, s).select("asin", "confidence")
+
+
+@query("v_reviews", "v_listings")
+def verdict_tone(r, s):
+    return scoring.verdict(_analysis(r, s)).groupBy("tone", "shows_old_rating").agg(F.count("*").alias("listings"))
+
+
+@query("v_reviews", "v_listings")
+def headline(r, s):
+    return scoring.verdict(_analysis(r, s)).select("asin", "title", "sub")
+
+
+@query("v_reviews", "v_listings")
+def verdict_texts(r, s):
+    return scoring.verdict(_analysis(r, s)).select("asin", "headline", "basis")
+
+
+def _sightings(r):
+    return corpus.shingle_sightings(r, F.expr("date '2026-07-01' + cast(doc_id % 3 as int)"))
+
+
+@query("v_reviews")
+def shingle_spread(r):
+    return corpus.shingle_spread(_sightings(r))
+
+
+@query("v_reviews")
+def template_findings(r):
+    return corpus.template_findings(r, _sightings(r)).select("review_id", "reused", F.col("total").cast("long").alias("total"), F.col("peak").cast("long").alias("peak"), r6("delta").alias("delta"))
+
+
+@query("v_reviews")
+def machine_likelihood(r):
+    return r.select("review_id", r6(corpus.machine_likelihood(T)).alias("likelihood"))
+
+
+@query("v_reviews")
+def text_findings(r):
+    return corpus.text_finding(r, corpus.template_findings(r, _sightings(r)), corpus.machine_findings(r)).select("asin", "k", "status")
+
+
+@query("v_edges")
+def reviewer_links(e):
+    return corpus.reviewer_links(e, e)
+
+
+@query("v_edges")
+def network_findings(e):
+    t = e.withColumn("review_id", F.concat_ws("-", "asin", "reviewer"))
+    return corpus.network_findings(t, e).select("review_id", "identifiable", "links", "peak", r6("delta").alias("delta"))
+
+
+@query("v_edges")
+def network_status(e):
+    return corpus.network_status(e.withColumn("review_id", F.concat_ws("-", "asin", "reviewer")), e)
+
+
+@query("v_observations")
+def obs_dedupe(o):
+    return corpus.dedupe_observations(o).select("obs_id", "asin", "displayed_rating", "total_ratings", "title_hash")
+
+
+@query("v_observations")
+def listing_hijack(o):
+    return corpus.listing_hijack(corpus.history(corpus.dedupe_observations(o)))
+
+
+@query("v_observations")
+def rating_shifts(o):
+    return corpus.rating_shifts(corpus.history(corpus.dedupe_observations(o)))
+
+
+@query("v_observations")
+def material_change(o):
+    return corpus.material_changes(o)
+
+
+def _stored(r, day):
+    return r.select("asin", tx.review_key(F.col("rating"), F.col("review_date"), T).alias("review_key"), "rating", "verified", "helpful_votes", F.col("reviewer_id").alias("reviewer_hash"), tx.spaced_words(T).alias("word_count"), F.col("review_date").alias("first_seen"), (F.col("review_date") + F.lit(day)).alias("last_seen"))
+
+
+@query("v_reviews")
+def upsert_reviews(r):
+    old = corpus.upsert_reviews(_stored(r.limit(0), 0), _stored(r.where("doc_id % 2 = 0"), 0))
+    new = _stored(r, 30).withColumn("first_seen", F.col("first_seen") + F.lit(30)).withColumn("helpful_votes", F.col("helpful_votes") + 1)
+    return corpus.upsert_reviews(old, new).groupBy("asin").agg(F.count("*").alias("n"), F.sum("helpful_votes").alias("votes"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
+@query("v_reviews")
+def shingle_sightings(r):
+    return corpus.count_sightings(_sightings(r))
+
+
+def _tables(r, o):
+    s = _sightings(r)
+    return {"reviews": _stored(r, 30), "observations": o, "cache": o.select("asin", F.col("observed_at").alias("computed_at")), "shingles": s.select("shingle_hash", "asin").distinct(), "shingle_days": s.select("shingle_hash", "day").distinct()}
+
+
+@query("v_reviews", "v_observations")
+def retention_sweep(r, o):
+    kept = corpus.sweep(_tables(r, o), F.lit("2026-07-01").cast("timestamp"))
+    out = None
+    for name, t in sorted(kept.items()):
+        one = t.agg(F.count("*").alias("kept")).select(F.lit(name).alias("name"), "kept")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("v_reviews", "v_observations")
+def orphan_shingles(r, o):
+    t = _tables(r, o)
+    gone = t["reviews"].where("last_seen < date '2024-07-01'").select("asin").distinct()
+    live = t["reviews"].where("last_seen >= date '2024-07-01'").select("asin").distinct()
+    return t["shingles"].join(gone.join(live, "asin", "left_anti"), "asin", "left_semi").groupBy("asin").agg(F.count("*").alias("orphans"))
+
+
+@query("v_observations")
+def cache_lookup(o):
+    cache = o.select("asin", F.col("obs_id").alias("payload"), F.col("observed_at").alias("computed_at"))
+    return corpus.read_cache(cache, F.lit("2024-01-30 23:00:00").cast("timestamp")).select("asin", "payload")
+
+
+@query("v_requests")
+def request_validation(q):
+    return validation.validate(q).select("event_id", F.coalesce("reject_reason", F.lit("accepted")).alias("outcome"))
+
+
+@query("v_requests")
+def reject_reasons(q):
+    return validation.validate(q).groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("requests"))
+
+
+@query("v_requests")
+def accepted_reviews(q):
+    return validation.accepted_reviews(validation.validate(q), keep=["event_id"]).select("event_id", "asin", F.col("rating").cast("long").alias("rating"), "review_date", "verified", "helpful_votes")
+
+
+@query("pages")
+def url_asin(p):
+    return p.select("page_id", tx.asin_of_url(F.col("url")).alias("asin"), pages.is_product_page(F.col("url")).alias("product"))
+
+
+@query("pages")
+def interstitial_pages(p):
+    return p.groupBy(pages.is_interstitial(F.col("html")).alias("interstitial")).agg(F.count("*").alias("pages"))
+
+
+@query("pages")
+def page_snapshots(p):
+    return pages.coverage(pages.snapshots(p))
+
+
+@query("v_snapshots")
+def histogram_plausible(s):
+    bars = F.array(*[F.col(f"h{i}") for i in range(1, 6)])
+    total = F.aggregate(F.filter(bars, lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
+    return s.select("asin", ((F.size(F.filter(bars, lambda x: x.isNotNull())) >= 4) & total.between(80, 120)).alias("plausible"))
+
+
+def _deep(r):
+    found = corpus.text_finding(r, corpus.template_findings(r, _sightings(r)), corpus.machine_findings(r))
+    return corpus.augmentation(found.select("asin", F.lit("ai-text").alias("signal"), F.lit(0).alias("ord"), "status"))
+
+
+@query("v_reviews")
+def deep_augmentation(r):
+    return _deep(r).select("asin", "signal", "status", "score", "weight", "confidence")
+
+
+@query("v_reviews", "v_listings")
+def deep_reanalysis(r, s):
+    deltas = corpus.template_findings(r, _sightings(r)).select("asin", "review_id", "delta").unionByName(corpus.machine_findings(r).select("asin", "review_id", "delta"))
+    return scoring.analyse(r, s, AS_OF, deltas, _deep(r)).select("asin", "trust_score", "grade", "discounted_count", "concerning_signals")
+
+
+@query("conversations")
+def conversation_reviews(c):
+    g = c.select(F.col("conv_id").cast("string").alias("asin"), F.col("turn").alias("seq"), F.concat_ws("-", "conv_id", "turn").alias("review_id"), "text")
+    return signals.text_failed(g).select("asin", "n", r6("coverage").alias("coverage"))
+
+
+ORACLES = oracles.build()

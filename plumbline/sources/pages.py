@@ -17,7 +17,7 @@ from plumbline.functions import text as tx
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: What marks an interstitial page.
-INTERSTITIAL = "(?i)action=[\"'][^\"']*validateCaptcha|enter the characters you see below|type the characters you see|sorry, we just need to make sure you.re not a robot|continue shopping to confirm"
+INTERSTITIAL = "(?i)<form[^>]*action=[\"'][^\"']*(validateCaptcha|/errors/)|click the button below to continue shopping|enter the characters you see below|we just need to make sure you'?re not a robot|type the characters you see in this image"
 #: Where each field stands, tried in order.
 TITLE = ["#productTitle", "#title span", "h1#title", "h1 span#productTitle"]
 RATING = ['[data-hook="rating-out-of-text"]', "#acrPopover .a-icon-alt", "#averageCustomerReviews .a-icon-alt", 'span[data-hook="average-star-rating"] .a-icon-alt', "#acrPopover"]
@@ -30,7 +30,7 @@ DATE = ['[data-hook="review-date"]', ".review-date"]
 BADGE = ['[data-hook="avp-badge"]', ".a-color-state.a-text-bold"]
 VOTES = ['[data-hook="helpful-vote-statement"]', ".cr-vote-text"]
 PROFILE = ["a.a-profile", '[data-hook="genome-widget"] a']
-BARS = ["#histogramTable", '[data-hook="histogram"]', "#cm_histogram"]
+BARS = ["#histogramTable", "#cm_cr_dp_d_rating_histogram", '[class*="ratings-histogram"]']
 
 
 class Node:
