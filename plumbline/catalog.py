@@ -36,54 +36,55 @@ def r6(c: Column | str) -> Column:
     return F.floor(c * 1e6 + 0.5) / 1e6
 
 
-T = F.col("text")
+def T() -> Column:
+    return F.col("text")
 
 
 @query("v_reviews")
 def text_tokens(r):
-    return r.select("review_id", F.explode(tx.tokens(T)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return r.select("review_id", F.explode(tx.tokens(T())).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 @query("v_reviews")
 def text_word_count(r):
-    return r.select("review_id", tx.word_count(T).alias("words"), tx.spaced_words(T).alias("spaced"))
+    return r.select("review_id", tx.word_count(T()).alias("words"), tx.spaced_words(T()).alias("spaced"))
 
 
 @query("v_reviews")
 def text_diversity(r):
-    return r.select("review_id", r6(tx.diversity(T)).alias("diversity"))
+    return r.select("review_id", r6(tx.diversity(T())).alias("diversity"))
 
 
 @query("v_reviews")
 def text_sentence_variation(r):
-    return r.select("review_id", r6(tx.sentence_variation(T)).alias("variation"), r6(tx.burstiness(T)).alias("burstiness"))
+    return r.select("review_id", r6(tx.sentence_variation(T())).alias("variation"), r6(tx.burstiness(T())).alias("burstiness"))
 
 
 @query("v_reviews")
 def text_specificity(r):
-    return r.select("review_id", tx.specifics(T).alias("specifics"), tx.specifics_short(T).alias("specifics_short"), r6(tx.contraction_rate(T)).alias("contractions"))
+    return r.select("review_id", tx.specifics(T()).alias("specifics"), tx.specifics_short(T()).alias("specifics_short"), r6(tx.contraction_rate(T())).alias("contractions"))
 
 
 @query("v_reviews")
 def phrase_hits(r):
-    return r.select("review_id", tx.phrase_hits(T, tx.INCENTIVE_PHRASES).alias("incentives"), tx.phrase_hits(T, tx.TEMPLATE_PHRASES).alias("templates"))
+    return r.select("review_id", tx.phrase_hits(T(), tx.INCENTIVE_PHRASES).alias("incentives"), tx.phrase_hits(T(), tx.TEMPLATE_PHRASES).alias("templates"))
 
 
 @query("v_reviews")
 def trigram_jaccard_pairs(r):
-    a = r.select("asin", F.col("review_id").alias("a"), F.col("seq").alias("a_seq"), tx.trigrams(T).alias("ga"))
-    b = r.select("asin", F.col("review_id").alias("b"), F.col("seq").alias("b_seq"), tx.trigrams(T).alias("gb"))
+    a = r.select("asin", F.col("review_id").alias("a"), F.col("seq").alias("a_seq"), tx.trigrams(T()).alias("ga"))
+    b = r.select("asin", F.col("review_id").alias("b"), F.col("seq").alias("b_seq"), tx.trigrams(T()).alias("gb"))
     return a.join(b, "asin").where("a_seq < b_seq").select("a", "b", r6(tx.jaccard(F.col("ga"), F.col("gb"))).alias("sim")).where("sim >= 0.55D")
 
 
 @query("v_reviews")
 def shingle_hashes(r):
-    return r.select(F.explode(tx.shingle_hashes(T)).alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
+    return r.select(F.explode(tx.shingle_hashes(T())).alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
 
 
 @query("v_reviews")
 def review_key(r):
-    return r.select("review_id", tx.review_key(F.col("rating"), F.col("review_date"), T).alias("review_key"))
+    return r.select("review_id", tx.review_key(F.col("rating"), F.col("review_date"), T()).alias("review_key"))
 
 
 @query("part")
@@ -212,7 +213,7 @@ def template_findings(r):
 
 @query("v_reviews")
 def machine_likelihood(r):
-    return r.select("review_id", r6(corpus.machine_likelihood(T)).alias("likelihood"))
+    return r.select("review_id", r6(corpus.machine_likelihood(T())).alias("likelihood"))
 
 
 @query("v_reviews")
@@ -257,7 +258,7 @@ def material_change(o):
 
 
 def _stored(r, day):
-    return r.select("asin", tx.review_key(F.col("rating"), F.col("review_date"), T).alias("review_key"), "rating", "verified", "helpful_votes", F.col("reviewer_id").alias("reviewer_hash"), tx.spaced_words(T).alias("word_count"), F.col("review_date").alias("first_seen"), (F.col("review_date") + F.lit(day)).alias("last_seen"))
+    return r.select("asin", tx.review_key(F.col("rating"), F.col("review_date"), T()).alias("review_key"), "rating", "verified", "helpful_votes", F.col("reviewer_id").alias("reviewer_hash"), tx.spaced_words(T()).alias("word_count"), F.col("review_date").alias("first_seen"), (F.col("review_date") + F.lit(day)).alias("last_seen"))
 
 
 @query("v_reviews")

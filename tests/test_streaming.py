@@ -6,8 +6,8 @@ from plumbline.streaming import state
 
 
 def collected(spark, df, name):
-    q = df.writeStream.format("memory").queryName(name).outputMode("append").start()
-    q.processAllAvailable()
+    q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(60)
     q.stop()
     return spark.table(name).collect()
 
