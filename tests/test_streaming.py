@@ -1,22 +1,53 @@
-"""Stateful operators over a small stream."""
+"""The state functions, batch by batch, with a stand-in for Spark's group state."""
 
 import datetime as dt
 
+import pandas as pd
+
 from plumbline.streaming import state
 
 
-def collected(spark, df, name):
-    q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    q.stop()
-    return spark.table(name).collect()
+class State:
+    hasTimedOut = False
+
+    def __init__(self):
+        self.value = None
+
+    @property
+    def exists(self):
+        return self.value is not None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        pass
+
+
+def frame(rows):
+    return pd.DataFrame([(dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s), i, f) for s, i, f in rows], columns=["ts", "event_id", "fingerprint"])
+
+
+def run(f, own, rows):
+    return pd.concat(list(f(("k",), iter([frame(rows)]), own)))
+
+
+def test_changes_keep_only_the_last_fingerprint():
+    own = State()
+    assert run(state._changes, own, [(0, 0, "A"), (1, 1, "A"), (2, 2, "B")]).event_id.tolist() == [0, 2]
+    assert run(state._changes, own, [(3, 3, "B"), (4, 4, "A")]).event_id.tolist() == [4]
 
 
-def test_changes_and_limits(spark, tmp_path):
-    at = lambda s: dt.datetime(2026, 1, 1, 0, 0, s)
-    rows = [("s", at(i), i, f) for i, f in enumerate("AABBA")]
-    spark.createDataFrame(rows, "session string, ts timestamp, event_id long, fingerprint string").write.parquet(str(tmp_path / "e"))
-    stream = spark.readStream.schema("session string, ts timestamp, event_id long, fingerprint string").parquet(str(tmp_path / "e"))
-    assert sorted(r.event_id for r in collected(spark, state.changed(stream), "changes")) == [0, 2, 4]
-    limited = state.rate_limited(stream.withColumnRenamed("session", "client"), limit=3)
-    assert sorted((r.event_id, r.allowed) for r in collected(spark, limited, "limits")) == [(0, True), (1, True), (2, True), (3, False), (4, False)]
+def test_limits_are_anchored_at_the_first_request():
+    own, f = State(), state.limiter(limit=2, window_s=60)
+    assert run(f, own, [(0, 0, ""), (1, 1, ""), (59, 2, "")]).allowed.tolist() == [True, True, False]
+    assert run(f, own, [(60, 3, ""), (61, 4, ""), (62, 5, "")]).allowed.tolist() == [True, True, False]
+    own.hasTimedOut = True
+    assert not list(f(("k",), iter([]), own)) and own.value is None
