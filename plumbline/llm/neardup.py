@@ -19,12 +19,16 @@ of ``percent`` / 100 or more; near-duplicate groups are the components.
    members.  The hub is drawn by the bucket's key, so that a document meets another
    hub in each of its buckets (a pair at 0.8 shares 13 on average): a link that one
    hub would hide shows in the next bucket.
-4. Candidates are confirmed on full sets, read from the texts.  First each document
-   is compared with the least of its hubs; the other candidates only where the links
-   so far do not already connect the two.  A hub's candidates are dealt in chunks,
+4. Candidates whose set sizes allow the similarity are confirmed on full sets, read from
+   the texts.  The first ``LEADING`` bands come first, each document with the least of
+   its hubs: most copies are linked by then.  A hub's candidates are dealt in chunks,
    each streamed past the hub's set, so a hub's group is never in one task.
-5. Buckets that still hold several components draw other hubs, until a draw finds no
-   link (``MOST_DRAWS`` is never met in practice).
+5. Then all bands: each component is in a bucket by two of its members there, found by
+   minima that combine before the shuffle, so a hot group of copies is two rows of a
+   bucket.  Buckets that hold several components form stars of these, and the links
+   found merge components.  Where components still meet, all members of the bucket are
+   asked against other hubs, until ``QUIET`` draws on end find no link (``MOST_DRAWS``
+   is never met in practice).
 
 Edge cases: a null or empty text has the empty set; rows of equal id are one node,
 linked as soon as one of them is; a null id has no component (null); an empty table
@@ -43,7 +47,7 @@ from plumbline.llm.cluster import Scratch, partitions
 from plumbline.llm.graph import components
 
 SHINGLE, PERCENT, BINS, BANDS, CHUNK = 5, 80, 128, 32, 128
-SMALL, PERMUTATIONS, MOST_DRAWS = 384, 2, 20
+SMALL, PERMUTATIONS, LEADING, QUIET, MOST_DRAWS = 384, 2, 4, 2, 20
 U64 = np.uint64
 
 
@@ -139,6 +143,7 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (``a`` the hub, ``b``) whose sets are similar, by their texts."""
     n = partitions(pairs.sparkSession)
+    texts = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
     chunked = pairs.join(pairs.groupBy("a").agg((1 + F.count("*") / CHUNK).cast("long").alias("chunks")), "a").withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks")).select("a", "chunk", "b")
     members = chunked.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "chunk", F.lit(1).alias("side"), "b", "text")
     hubs = chunked.select("a", "chunk").distinct().join(texts.select(F.col("id").alias("a"), "text"), "a").select("a", "chunk", F.lit(0).alias("side"), F.col("a").alias("b"), "text")
@@ -176,6 +181,18 @@ def _stars(members: DataFrame, draw: int = 0) -> DataFrame:
     return members.join(hubs, "key").where("id <> hub").select("hub", "id").distinct()
 
 
+def _ends(members: DataFrame) -> DataFrame:
+    """The least and the most member of each component (``g``) in a bucket (``key``)."""
+    return members.groupBy("key", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+
+
+def _of_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The candidates (``hub``, ``id``) whose set sizes allow the similarity."""
+    of = lambda n: sizes.select(F.col("id").alias(n), F.col("least").alias(f"{n}_least"), F.col("most").alias(f"{n}_most"))
+    fits = (F.col("hub_most") * 100 >= F.col("id_least") * percent) & (F.col("id_most") * 100 >= F.col("hub_least") * percent)
+    return pairs.join(of("hub"), "hub").join(of("id"), "id").where(fits).select("hub", "id")
+
+
 def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Each row's id, ``n_shingles`` and ``component_id``, the least id of its near-duplicate group."""
     scratch = Scratch(docs.sparkSession)
@@ -186,34 +203,58 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shing
     leads = filled.groupBy(*sets).agg(F.min("id").alias("lead"))
     member = scratch.cut(sketches.join(leads, sets, "left").select("id", "n", F.coalesce("lead", "id").alias("lead")))
     alone = filled.join(leads.where("lead is not null").select(*sets, F.col("lead").alias("id")), [*sets, "id"], "left_semi")
-    buckets = alone.select("id", F.explode("bands").alias("key")).repartition(partitions(docs.sparkSession), "key")
-    stars = scratch.cut(_stars(buckets))
-    texts = scratch.cut(read.join(stars.select(F.explode(F.array("hub", "id")).alias("id")).distinct(), "id", "left_semi"))
-    best = stars.groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    links = scratch.cut(confirm(best, texts, shingle, percent))
-    known = components(links, scratch)
-    asked, rest = best, _apart(stars.select(F.col("hub").alias("a"), F.col("id").alias("b")), known).join(best, ["a", "b"], "left_anti")
-    mixed = None
+    alone = scratch.cut(alone.select("id", "bands"))
+    sizes = scratch.cut(filled.groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    scratch.drop(sketches)
+    leading = alone.select("id", F.explode(F.slice("bands", 1, LEADING)).alias("key"))
+    stars = _of_size(_stars(leading), sizes, percent)
+    asked = scratch.cut(stars.groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    known = components(scratch.cut(confirm(asked, read, shingle, percent)), scratch)
+    within = _named(alone, known).select("g", "id", F.explode("bands").alias("key"))
+    mixed = scratch.cut(_several(_ends(within), scratch))
+    edges = _stars(mixed.select("key", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("id")))
+    mixed = scratch.cut(alone.select("id", F.explode("bands").alias("key")).join(mixed.select("key").distinct(), "key", "left_semi"))
+    quiet = 0
     for draw in range(1, MOST_DRAWS + 1):
-        rest = scratch.cut(rest)
-        more = scratch.cut(confirm(rest, texts, shingle, percent))
-        if more.isEmpty():
+        asking = scratch.cut(_apart(_of_size(edges, sizes, percent).select(F.col("hub").alias("a"), F.col("id").alias("b")), known).join(asked, ["a", "b"], "left_anti"))
+        links = scratch.cut(confirm(asking, read, shingle, percent))
+        asked = asked.unionByName(asking)
+        if links.isEmpty():
+            quiet += 1
+        else:
+            quiet, known = 0, _merged(known, links, scratch)
+            several = _several(_ends(_named(mixed, known)), scratch).select("key").distinct()
+            mixed = scratch.cut(mixed.join(several, "key", "left_semi"))
+        if quiet == QUIET:
             break
-        asked, links = asked.unionByName(rest), links.unionByName(more)
-        known = components(links, scratch)
-        grouped = (buckets if mixed is None else mixed).join(known.withColumnRenamed("component", "g"), "id", "left").select("key", "id", F.coalesce("g", "id").alias("g"))
-        several = grouped.groupBy("key").agg(F.min("g").alias("least"), F.max("g").alias("most")).where("least < most").select("key")
-        mixed = scratch.cut(grouped.join(several, "key", "left_semi").select("key", "id"))
-        again = _stars(mixed, draw).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        rest = _apart(again, known).join(asked, ["a", "b"], "left_anti")
-    scratch.drop(texts)
-    scratch.drop(sketches)
+        edges = _stars(mixed, draw)
     found = member.join(known.withColumnRenamed("id", "lead"), "lead", "left")
     return found.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "lead").alias("component_id"))
 
 
+def _named(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Members (``id``) with their component so far (``g``)."""
+    return members.join(known.withColumnRenamed("component", "g"), "id", "left").withColumn("g", F.coalesce("g", "id"))
+
+
+def _several(ends: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of buckets that hold several components."""
+    ends = scratch.cut(ends)
+    return ends.join(ends.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
+
+
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs that the components do not connect."""
     of = lambda n: known.select(F.col("id").alias(n), F.col("component").alias(f"{n}_group"))
     both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     return both.where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
+
+
+def _merged(known: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components after more links, found between the components so far."""
+    of = lambda n: known.select(F.col("id").alias(n), F.col("component").alias(f"{n}_group"))
+    both = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    over = components(both.select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b")), scratch)
+    every = known.unionByName(over.join(known, "id", "left_anti").select("id", F.col("id").alias("component")))
+    named = over.select(F.col("id").alias("component"), F.col("component").alias("now"))
+    return scratch.cut(every.join(named, "component", "left").select("id", F.coalesce("now", "component").alias("component")))
