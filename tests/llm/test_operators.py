@@ -100,6 +100,30 @@ def test_lines(spark):
     assert found == {1: f"{line}\n\nown one", 2: "own two\n", 3: "", 4: None, 5: "", None: ""}
 
 
+def alike_lines(texts):
+    """Brute force: the place of the first line of each text's component of alike lines."""
+    sets = [{t[i : i + 5] for i in range(max(len(t) - 4, 1))} for t in texts]
+    first = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            both = len(sets[a] & sets[b])
+            if first[a] != first[b] and both * 100 >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                low, high = sorted((first[a], first[b]))
+                first = [low if x == high else x for x in first]
+    return first
+
+
+def kept_lines(spark, texts):
+    found = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    return [i for i in range(len(texts)) if found[i]]
+
+
+def test_lines_without_white_space(spark):
+    texts = [x for i in range(20) for x in (prose(i, 12).replace(" ", "/"), "x" + prose(i, 12).replace(" ", "/")[1:])]
+    assert alike_lines(texts) == [i - i % 2 for i in range(40)]
+    assert kept_lines(spark, texts) == list(range(0, 40, 2))
+
+
 def test_decontamination(spark):
     bench = spark.createDataFrame([("a", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), ("b", "zig zag"), ("c", None)], "item_id string, text string")
     df = spark.createDataFrame([(1, "x TWO three, four five six seven eight nine ten eleven twelve thirteen fourteen y"), (2, "zig-zag"), (3, "two three four five six seven eight nine ten eleven twelve thirteen"), (4, None)], SCHEMA)
