@@ -124,6 +124,16 @@ def test_lines_without_white_space(spark):
     assert kept_lines(spark, texts) == list(range(0, 40, 2))
 
 
+def test_lines_of_a_template(spark):
+    template = prose(500, 12)
+    texts = []
+    for i in range(150):
+        own = prose(1000 + i, 6)
+        texts += [f"{template} {own}", f"{template} {own.rsplit(' ', 1)[0]} {prose(3000 + i, 1)}"]
+    first = alike_lines(texts)
+    assert kept_lines(spark, texts) == [i for i in range(len(texts)) if first[i] == i] and len(set(first)) > 20
+
+
 def test_decontamination(spark):
     bench = spark.createDataFrame([("a", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), ("b", "zig zag"), ("c", None)], "item_id string, text string")
     df = spark.createDataFrame([(1, "x TWO three, four five six seven eight nine ten eleven twelve thirteen fourteen y"), (2, "zig-zag"), (3, "two three four five six seven eight nine ten eleven twelve thirteen"), (4, None)], SCHEMA)
