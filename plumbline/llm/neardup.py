@@ -27,8 +27,11 @@ of ``percent`` / 100 or more; near-duplicate groups are the components.
    minima that combine before the shuffle, so a hot group of copies is two rows of a
    bucket.  Buckets that hold several components form stars of these, and the links
    found merge components.  Where components still meet, all members of the bucket are
-   asked against other hubs, until ``QUIET`` draws on end find no link (``MOST_DRAWS``
-   is never met in practice).
+   asked against other hubs, until ``QUIET`` draws on end find no link, ``MOST_DRAWS``
+   at most.
+6. Last, in buckets that still hold several components every pair of members of
+   different components that was not asked is, in blocks of ``BLOCK`` members: draws
+   only save work, and a pair that shares a bucket is never left out.
 
 Edge cases: a null or empty text has the empty set; rows of equal id are one node,
 linked as soon as one of them is; a null id has no component (null); an empty table
@@ -47,7 +50,7 @@ from plumbline.llm.cluster import Scratch, partitions
 from plumbline.llm.graph import components
 
 SHINGLE, PERCENT, BINS, BANDS, CHUNK = 5, 80, 128, 32, 128
-SMALL, PERMUTATIONS, LEADING, QUIET, MOST_DRAWS = 384, 2, 4, 2, 20
+SMALL, PERMUTATIONS, LEADING, QUIET, MOST_DRAWS, BLOCK = 384, 2, 4, 2, 20, 256
 U64 = np.uint64
 
 
@@ -228,6 +231,10 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shing
         if quiet == QUIET:
             break
         edges = _stars(mixed, draw)
+    asking = scratch.cut(_of_size(_rest(mixed, known, scratch), sizes, percent).select(F.col("hub").alias("a"), F.col("id").alias("b")).join(_both_ways(asked), ["a", "b"], "left_anti"))
+    links = scratch.cut(confirm(asking, read, shingle, percent))
+    if not links.isEmpty():
+        known = _merged(known, links, scratch)
     found = member.join(known.withColumnRenamed("id", "lead"), "lead", "left")
     return found.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "lead").alias("component_id"))
 
@@ -243,6 +250,22 @@ def _several(ends: DataFrame, scratch: Scratch) -> DataFrame:
     return ends.join(ends.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
 
 
+def _rest(members: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """Every two members (``hub``, ``id``) of a bucket (``key``) that are of different components, once."""
+    several = _several(_ends(_named(members, known)), scratch).select("key").distinct()
+    sized = members.join(several, "key", "left_semi").groupBy("key").agg(F.floor((F.count("*") - 1) / BLOCK).cast("int").alias("last"))
+    own = F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int")
+    blocked = _named(members, known).join(sized, "key").select("key", "id", "g", "last", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    dealt = scratch.cut(blocked.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "g", "own"))
+    of = lambda n: dealt.select("key", "low", "high", *[F.col(c).alias(f"{n}_{c}") for c in ("id", "g", "own")])
+    met = of("a").join(of("b"), ["key", "low", "high"]).where("a_id < b_id and a_g <> b_g and (low = high or a_own <> b_own)")
+    return met.select(F.col("a_id").alias("hub"), F.col("b_id").alias("id")).distinct()
+
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").union(pairs.select("b", "a"))
+
+
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs that the components do not connect."""
     of = lambda n: known.select(F.col("id").alias(n), F.col("component").alias(f"{n}_group"))

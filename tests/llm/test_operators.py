@@ -87,6 +87,20 @@ def test_near_duplicates(docs):
     assert neardup.groups(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    """Pairs at 0.83 in a family at 0.75 are found whatever the number of draws."""
+    monkeypatch.setattr(neardup, "MOST_DRAWS", 0)
+    template, texts = prose(600, 147), []
+    for i in range(60):
+        head = prose(700 + i, 8)
+        texts += [f"{template} {head} {prose(800 + 2 * i + k, 16)}" for k in range(2)]
+    sets = [{tuple(w[k : k + 4]) for k in range(len(w) - 3)} for w in (t.split() for t in texts)]
+    alike = {(a, b) for b in range(120) for a in range(b) if len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b])}
+    assert alike == {(i, i + 1) for i in range(0, 120, 2)}
+    found = got(neardup.groups(spark.createDataFrame(list(enumerate(texts)), SCHEMA), shingle=4), "component_id")
+    assert [found[i] for i in range(120)] == [(i - i % 2,) for i in range(120)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (100, 102), (5, 5)]
     found = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
