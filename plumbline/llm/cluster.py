@@ -11,12 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows that a mapped function gets at a time.
+AT_ONCE = 1024
+PART_BYTES = 128 << 20
+HELD = 1_000_000
+
 
 def partitions(spark: SparkSession) -> int:
     """Parts into which keys and documents are dealt: the session's shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def parts(docs: DataFrame, text: str) -> int:
+    """Parts into which whole documents are dealt: the shuffle partitions, or more if a part would hold over ``PART_BYTES`` of text."""
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("n")).first()["n"] or 0
+    return max(partitions(docs.sparkSession), -(-size // PART_BYTES))
+
+
+def if_few(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast where its rows (some numbers each) are at most ``HELD``, else as it is."""
+    return F.broadcast(table) if table.limit(HELD + 1).count() <= HELD else table
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints; a temporary one only in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -60,16 +76,12 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
-def part_of(column: str, n: int):
-    """A part number for a document id, even for null."""
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(n)).cast("int")
-
-
 def map_texts(df: DataFrame, text: str, make, fields: list[T.StructField], keep: list[str] | None = None) -> DataFrame:
     """Add columns computed from a text column, batch by batch, in Python.
 
     ``make()`` runs once in each task and returns a function from the Arrow text
-    column (and the batch) to one Arrow array a field.  ``keep`` are the input
+    column (and the batch) to one Arrow array a field.  It gets ``AT_ONCE`` rows at
+    a time, so that what it makes of them stays small.  ``keep`` are the input
     columns that stay, all by default.
     """
     names = df.columns if keep is None else keep
@@ -81,9 +93,10 @@ def map_texts(df: DataFrame, text: str, make, fields: list[T.StructField], keep:
     def run(batches):
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                made = work(batch.column(at), batch)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *made], names=[f.name for f in schema])
+            for begin in range(0, batch.num_rows, AT_ONCE):
+                rows = batch.slice(begin, AT_ONCE)
+                made = work(rows.column(at), rows)
+                yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in kept), *made], names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)
 
@@ -98,3 +111,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             made += "_"
         out.append(made)
     return out
+
+
+def others(names: list[str], *made: str) -> list:
+    """The named columns without those that a made column of the same name replaces."""
+    gone = {m.lower() for m in made}
+    return [F.col(f"`{c}`") for c in names if c.lower() not in gone]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import text as tx
-from plumbline.llm.cluster import Scratch, fresh, map_texts
+from plumbline.llm.cluster import Scratch, fresh, map_texts, others
 
 WINDOW, GRAM, BLOCK = 13, 5, 32 << 20
 RESULT = T.StructType(
@@ -168,7 +168,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
         held = to
         if k < n - 1:
             out = scratch.cut(out)
-    return out.select(*[F.col(f"`{c}`") for c in names], F.col(held).alias(into))
+    return out.select(*others(names, into), F.col(held).alias(into))
 
 
 def _merged(spans):

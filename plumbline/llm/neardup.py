@@ -15,23 +15,18 @@ of ``percent`` / 100 or more; near-duplicate groups are the components.
    ``PERMUTATIONS`` permutations, with as many times the bands.
 2. Documents with equal sets (a 128-bit digest of the set and its size) collapse to
    the least id; a group of copies of any size takes part once.
-3. In each bucket one member is the hub of a star: candidate edges are fewer than the
-   members.  The hub is drawn by the bucket's key, so that a document meets another
-   hub in each of its buckets (a pair at 0.8 shares 13 on average): a link that one
-   hub would hide shows in the next bucket.
-4. Candidates whose set sizes allow the similarity are confirmed on full sets, read from
-   the texts.  The first ``LEADING`` bands come first, each document with the least of
-   its hubs: most copies are linked by then.  A hub's candidates are dealt in chunks,
-   each streamed past the hub's set, so a hub's group is never in one task.
-5. Then all bands: each component is in a bucket by two of its members there, found by
-   minima that combine before the shuffle, so a hot group of copies is two rows of a
-   bucket.  Buckets that hold several components form stars of these, and the links
-   found merge components.  Where components still meet, all members of the bucket are
-   asked against other hubs, until ``QUIET`` draws on end find no link, ``MOST_DRAWS``
-   at most.
-6. Last, in buckets that still hold several components every pair of members of
-   different components that was not asked is, in blocks of ``BLOCK`` members: draws
-   only save work, and a pair that shares a bucket is never left out.
+3. Stars: in each bucket one member, drawn by the bucket's key, is the hub.  Each
+   document asks the hub that it meets in the most buckets, so candidate edges are
+   fewer than documents.  They are confirmed on full sets, read from the texts; a hub's
+   candidates are dealt in chunks, each streamed past the hub's set.  Most copies are
+   linked by then.
+4. The exact rest: buckets that still hold several components are dealt in blocks of
+   ``BLOCK`` members.  First only sizes and band keys travel: a pair counts where it is
+   of different components, its sizes allow the similarity and no earlier band has it.
+   Then the members of such pairs meet once more with their texts, and the full sets of
+   a block are compared inside a task, which gives out a forest of the links.  Members
+   are sent and never pairs, no pair that shares a bucket is left out, and there are two
+   rounds whatever the data.
 
 Edge cases: a null or empty text has the empty set; rows of equal id are one node,
 linked as soon as one of them is; a null id has no component (null); an empty table
@@ -46,11 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import text as tx
-from plumbline.llm.cluster import Scratch, partitions
+from plumbline.llm.cluster import Scratch, if_few, partitions
 from plumbline.llm.graph import components
 
 SHINGLE, PERCENT, BINS, BANDS, CHUNK = 5, 80, 128, 32, 128
-SMALL, PERMUTATIONS, LEADING, QUIET, MOST_DRAWS, BLOCK = 384, 2, 4, 2, 20, 256
+SMALL, PERMUTATIONS, BLOCK, COLUMNS = 384, 2, 1024, 4096
 U64 = np.uint64
 
 
@@ -92,24 +87,23 @@ def densify(signature: np.ndarray, filled: np.ndarray) -> np.ndarray:
     return out.reshape(n, bins)
 
 
-def sketch(block: tx.Block, shingle: int, bins: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set sizes, two digests of each set, and band keys (rows of texts with an empty set are void)."""
-    packed = _sets(block, shingle)
+def sketch(packed: np.ndarray, n: int, bins: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sets of n texts: sizes, two digests of each, and band keys (rows of texts with an empty set are void)."""
     own = (packed >> U64(48)).astype(np.int64)
     value = packed << U64(16)
-    size = np.bincount(own, minlength=block.n)
-    digest = np.zeros((2, block.n), U64)
+    size = np.bincount(own, minlength=n)
+    digest = np.zeros((2, n), U64)
     some = np.flatnonzero(size)
     if len(some):
         begin = (np.cumsum(size) - size)[some]
         for k in range(2):
             digest[k, some] = np.add.reduceat(tx.mix(value + U64(k + 1)), begin)
-    keys = [_band_keys(own, value, block.n, bins, bands, 0)]
+    keys = [_band_keys(own, value, n, bins, bands, 0)]
     small = size[own] < SMALL
     for k in range(1, PERMUTATIONS):
         again = tx.mix(value[small] + U64(k))
         again = np.sort((own[small].astype(U64) << U64(48)) | (again >> U64(16)))
-        keys.append(_band_keys((again >> U64(48)).astype(np.int64), again << U64(16), block.n, bins, bands, k))
+        keys.append(_band_keys((again >> U64(48)).astype(np.int64), again << U64(16), n, bins, bands, k))
     return size, digest, np.concatenate(keys, axis=1)
 
 
@@ -134,7 +128,8 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
             for block in tx.blocks(batch.column(1)):
-                size, digest, keys = sketch(block, shingle, BINS, BANDS)
+                packed = _sets(block, shingle)
+                size, digest, keys = sketch(packed, block.n, BINS, BANDS)
                 bands = np.where(size > 0, np.where(size < SMALL, PERMUTATIONS * BANDS, BANDS), 0)
                 offsets = np.concatenate(([0], np.cumsum(bands))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[np.arange(keys.shape[1]) < bands[:, None]].view(np.int64)))
@@ -143,11 +138,17 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, bands array<long>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of some ids, which are a table of their own and distinct."""
+    return texts.join(if_few(wanted), "id", "left_semi")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (``a`` the hub, ``b``) whose sets are similar, by their texts."""
     n = partitions(pairs.sparkSession)
-    texts = texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
-    chunked = pairs.join(pairs.groupBy("a").agg((1 + F.count("*") / CHUNK).cast("long").alias("chunks")), "a").withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks")).select("a", "chunk", "b")
+    of_hub = scratch.cut(pairs.groupBy("a").agg((1 + F.count("*") / CHUNK).cast("long").alias("chunks")))
+    texts = _only(texts, scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    chunked = pairs.join(of_hub, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks")).select("a", "chunk", "b")
     members = chunked.join(texts.select(F.col("id").alias("b"), "text"), "b").select("a", "chunk", F.lit(1).alias("side"), "b", "text")
     hubs = chunked.select("a", "chunk").distinct().join(texts.select(F.col("id").alias("a"), "text"), "a").select("a", "chunk", F.lit(0).alias("side"), F.col("a").alias("b"), "text")
 
@@ -176,17 +177,15 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return members.unionByName(hubs).repartition(n, "a", "chunk").sortWithinPartitions("a", "chunk", "side").mapInArrow(run, "a long, b long")
 
 
-def _stars(members: DataFrame, draw: int = 0) -> DataFrame:
-    """Candidate edges of buckets (``key``, ``id``): every member with the hub, the one whose id differs least from the key in its upper bits."""
-    salt = F.col("key") if not draw else F.xxhash64(F.lit(draw), "key")
-    drawn = F.min(F.col("id").bitwiseXOR(salt))
-    hubs = members.groupBy("key").agg(drawn.alias("least"), F.count("*").alias("n")).where("n > 1").select("key", F.col("least").bitwiseXOR(salt).alias("hub"))
-    return members.join(hubs, "key").where("id <> hub").select("hub", "id").distinct()
+def _stars(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """Candidate edges (``hub``, ``id``) of buckets (``key``, ``id``): each member with the hub it meets most often.
 
-
-def _ends(members: DataFrame) -> DataFrame:
-    """The least and the most member of each component (``g``) in a bucket (``key``)."""
-    return members.groupBy("key", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    The hub of a bucket is the member whose id differs least from the key in its upper bits.
+    """
+    drawn = F.min(F.col("id").bitwiseXOR(F.col("key")))
+    hubs = scratch.cut(members.groupBy("key").agg(drawn.alias("least"), F.count("*").alias("n")).where("n > 1").select("key", F.col("least").bitwiseXOR(F.col("key")).alias("hub")))
+    met = members.join(if_few(hubs), "key").where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n"))
+    return met.groupBy("id").agg(F.max(F.struct("n", "hub")).alias("most")).select("most.hub", "id")
 
 
 def _of_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -203,36 +202,15 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shing
     sketches = scratch.cut(_sketches(read, shingle))
     filled = sketches.where("n > 0 and id is not null")
     sets = ["n", "d1", "d2"]
-    leads = filled.groupBy(*sets).agg(F.min("id").alias("lead"))
-    member = scratch.cut(sketches.join(leads, sets, "left").select("id", "n", F.coalesce("lead", "id").alias("lead")))
-    alone = filled.join(leads.where("lead is not null").select(*sets, F.col("lead").alias("id")), [*sets, "id"], "left_semi")
-    alone = scratch.cut(alone.select("id", "bands"))
-    sizes = scratch.cut(filled.groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    leads = scratch.cut(filled.groupBy(*sets).agg(F.min("id").alias("lead")))
+    member = scratch.cut(sketches.select("id", *sets).join(leads, sets, "left").select("id", "n", F.coalesce("lead", "id").alias("lead")))
+    alone = scratch.cut(_only(filled, leads.select(F.col("lead").alias("id"))).select("id", "n", "bands"))
     scratch.drop(sketches)
-    leading = alone.select("id", F.explode(F.slice("bands", 1, LEADING)).alias("key"))
-    stars = _of_size(_stars(leading), sizes, percent)
-    asked = scratch.cut(stars.groupBy("id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    known = components(scratch.cut(confirm(asked, read, shingle, percent)), scratch)
-    within = _named(alone, known).select("g", "id", F.explode("bands").alias("key"))
-    mixed = scratch.cut(_several(_ends(within), scratch))
-    edges = _stars(mixed.select("key", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("id")))
-    mixed = scratch.cut(alone.select("id", F.explode("bands").alias("key")).join(mixed.select("key").distinct(), "key", "left_semi"))
-    quiet = 0
-    for draw in range(1, MOST_DRAWS + 1):
-        asking = scratch.cut(_apart(_of_size(edges, sizes, percent).select(F.col("hub").alias("a"), F.col("id").alias("b")), known).join(asked, ["a", "b"], "left_anti"))
-        links = scratch.cut(confirm(asking, read, shingle, percent))
-        asked = asked.unionByName(asking)
-        if links.isEmpty():
-            quiet += 1
-        else:
-            quiet, known = 0, _merged(known, links, scratch)
-            several = _several(_ends(_named(mixed, known)), scratch).select("key").distinct()
-            mixed = scratch.cut(mixed.join(several, "key", "left_semi"))
-        if quiet == QUIET:
-            break
-        edges = _stars(mixed, draw)
-    asking = scratch.cut(_of_size(_rest(mixed, known, scratch), sizes, percent).select(F.col("hub").alias("a"), F.col("id").alias("b")).join(_both_ways(asked), ["a", "b"], "left_anti"))
-    links = scratch.cut(confirm(asking, read, shingle, percent))
+    sizes = scratch.cut(alone.groupBy("id").agg(F.min("n").alias("least"), F.max("n").alias("most")))
+    stars = _of_size(_stars(alone.select("id", F.explode("bands").alias("key")), scratch), sizes, percent)
+    asked = scratch.cut(stars.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    known = components(scratch.cut(confirm(asked, read, shingle, percent, scratch)), scratch)
+    links = scratch.cut(_rest(alone, known, read, shingle, percent, scratch))
     if not links.isEmpty():
         known = _merged(known, links, scratch)
     found = member.join(known.withColumnRenamed("id", "lead"), "lead", "left")
@@ -244,33 +222,113 @@ def _named(members: DataFrame, known: DataFrame) -> DataFrame:
     return members.join(known.withColumnRenamed("component", "g"), "id", "left").withColumn("g", F.coalesce("g", "id"))
 
 
-def _several(ends: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of buckets that hold several components."""
-    ends = scratch.cut(ends)
-    return ends.join(ends.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
-
+def _rest(alone: DataFrame, known: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    """A forest (``a``, ``b``) of the links between components that share a bucket."""
+    n, block = partitions(alone.sparkSession), ["key", "first", "second"]
+    within = _named(alone.select("id", "bands"), known).select("id", "g", F.explode("bands").alias("key"))
+    mixed = scratch.cut(within.groupBy("key").agg(F.min("g").alias("least"), F.max("g").alias("most"), F.count("*").alias("size")).where("least <> most").select("key", F.floor((F.col("size") - 1) / BLOCK).cast("int").alias("last")))
+    own = F.pmod(F.xxhash64("id", "key"), F.col("last") + 1).cast("int")
+    blocked = within.join(if_few(mixed), "key").select("key", "id", "g", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
+    dealt = blocked.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "id", "g").join(alone, "id").select(*block, "own", "id", "g", "n", "bands")
+    kind = "key long, first int, second int, own int, id long, g long"
+    met = scratch.cut(dealt.repartition(n, *block).sortWithinPartitions(*block).mapInArrow(_by_block(lambda rows: _meeting(rows, percent)), kind))
+    read = _only(texts, scratch.cut(met.select("id").distinct()))
+    return met.join(read, "id").select(*block, "own", "id", "g", "text").repartition(n, *block).sortWithinPartitions(*block).mapInArrow(_by_block(lambda rows: _linked(rows, shingle, percent)), "a long, b long")
 
-def _rest(members: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
-    """Every two members (``hub``, ``id``) of a bucket (``key``) that are of different components, once."""
-    several = _several(_ends(_named(members, known)), scratch).select("key").distinct()
-    sized = members.join(several, "key", "left_semi").groupBy("key").agg(F.floor((F.count("*") - 1) / BLOCK).cast("int").alias("last"))
-    own = F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int")
-    blocked = _named(members, known).join(sized, "key").select("key", "id", "g", "last", own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    dealt = scratch.cut(blocked.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "g", "own"))
-    of = lambda n: dealt.select("key", "low", "high", *[F.col(c).alias(f"{n}_{c}") for c in ("id", "g", "own")])
-    met = of("a").join(of("b"), ["key", "low", "high"]).where("a_id < b_id and a_g <> b_g and (low = high or a_own <> b_own)")
-    return met.select(F.col("a_id").alias("hub"), F.col("b_id").alias("id")).distinct()
 
+def _by_block(work):
+    """``work`` on the rows of each block, which the first three columns name; the rows come sorted by them."""
 
-def _both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a", "b").union(pairs.select("b", "a"))
-
-
-def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs that the components do not connect."""
-    of = lambda n: known.select(F.col("id").alias(n), F.col("component").alias(f"{n}_group"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            if held and (key[:, 0] != [held[-1].column(i)[-1].as_py() for i in range(3)]).any():
+                yield from work(pa.Table.from_batches(held))
+                held = []
+            begin = 0
+            for end in cut.tolist():
+                yield from work(pa.Table.from_batches([*held, batch.slice(begin, end - begin)]))
+                held, begin = [], end
+            held.append(batch.slice(begin))
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return run
+
+
+def _asked(rows: pa.Table, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which two rows are of different components, of sizes that allow the similarity, and of the two blocks."""
+    first, second, own, group = (rows[c].to_numpy() for c in ("first", "second", "own", "g"))
+    fits = (group[:, None] != group) & (np.minimum(n[:, None], n) * 100 >= np.maximum(n[:, None], n) * percent)
+    return fits & (own[:, None] != own) if first[0] != second[0] else fits
+
+
+def _meeting(rows: pa.Table, percent: int):
+    """The members of pairs that meet here and in no earlier band."""
+    fits = _asked(rows, rows["n"].to_numpy(), percent)
+    some = np.flatnonzero(fits.any(0))
+    if not len(some):
+        return
+    rows, fits = rows.take(pa.array(some)), fits[np.ix_(some, some)]
+    bands = rows["bands"].combine_chunks()
+    flat, at = bands.flatten().to_numpy(), np.concatenate(([0], np.cumsum(bands.value_lengths().to_numpy())))
+    here = int(np.flatnonzero(flat[: at[1]] == rows["key"][0].as_py())[0])
+    for q in range(here):
+        key = flat[at[:-1] + q]
+        fits &= key[:, None] != key
+    yield from rows.filter(pa.array(fits.any(0))).select(["key", "first", "second", "own", "id", "g"]).to_batches()
+
+
+def _linked(rows: pa.Table, shingle: int, percent: int):
+    """A forest of the links within two blocks of a bucket, by their full sets."""
+    sets: list[np.ndarray] = []
+    for block in tx.blocks(rows["text"]):
+        packed = _sets(block, shingle)
+        cut = np.searchsorted(packed >> U64(48), np.arange(block.n + 1, dtype=U64))
+        sets += [packed[cut[i] : cut[i + 1]] & U64((1 << 48) - 1) for i in range(block.n)]
+    n, ids, group = np.array([len(x) for x in sets]), rows["id"].to_numpy(), rows["g"].to_numpy()
+    x, y = np.nonzero(np.triu(_asked(rows, n, percent)))
+    if not len(x):
+        return
+    both = _shared(sets)[x, y].astype(np.int64)
+    root = {g: g for g in group.tolist()}
+
+    def find(g):
+        while root[g] != g:
+            root[g] = g = root[root[g]]
+        return g
+
+    out = []
+    for i in np.flatnonzero(100 * both >= percent * (n[x] + n[y] - both)).tolist():
+        a, b = find(int(group[x[i]])), find(int(group[y[i]]))
+        if a != b:
+            root[a] = b
+            out.append((int(ids[x[i]]), int(ids[y[i]])))
+    if out:
+        a, b = zip(*out, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of the sets share; members are told apart ``COLUMNS`` at a time."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, times = np.unique(values, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    often = times[at] > 1
+    at, owner = number[at[often]], owner[often]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for begin in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        own = slice(*np.searchsorted(at, (begin, begin + COLUMNS)))
+        table = np.zeros((len(sets), min(COLUMNS, int(at[-1]) + 1 - begin)), np.float32)
+        table[owner[own], at[own] - begin] = 1
+        out += table @ table.T
+    return out
 
 
 def _merged(known: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
