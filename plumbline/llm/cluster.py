@@ -48,8 +48,9 @@ class Scratch:
     """Tables written in the shared folder to cut lineage.
 
     ``cut`` writes and rereads a DataFrame, so that a lost executor costs the
-    tasks it held and no earlier job.  ``drop`` deletes a table no longer read,
-    and lets Spark delete the shuffle files of finished jobs.
+    tasks it held and no earlier job.  Before it writes, Spark deletes the shuffle
+    files of earlier jobs, which nothing refers to by then.  ``drop`` deletes a table
+    no longer read.
     """
 
     def __init__(self, spark: SparkSession):
@@ -58,12 +59,12 @@ class Scratch:
         self.n = 0
 
     def cut(self, df: DataFrame) -> DataFrame:
+        self.release()
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._plumbline_path = path
-        self.release()
         return out
 
     def drop(self, df: DataFrame) -> None:

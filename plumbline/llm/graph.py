@@ -38,3 +38,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     roots = scratch.cut(roots)
     names = roots.groupBy("to").agg(F.min("id").alias("component"))
     return scratch.cut(roots.join(names, "to").select("id", "component"))
+
+
+def merged(known: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components after more links, found between the components so far."""
+    of = lambda n: known.select(F.col("id").alias(n), F.col("component").alias(f"{n}_group"))
+    both = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    over = components(both.select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b")), scratch)
+    every = known.unionByName(over.join(known, "id", "left_anti").select("id", F.col("id").alias("component")))
+    named = over.select(F.col("id").alias("component"), F.col("component").alias("now"))
+    return scratch.cut(every.join(named, "component", "left").select("id", F.coalesce("now", "component").alias("component")))

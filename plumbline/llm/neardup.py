@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import text as tx
 from plumbline.llm.cluster import Scratch, if_few, partitions
-from plumbline.llm.graph import components
+from plumbline.llm.graph import components, merged
 
 SHINGLE, PERCENT, BINS, BANDS, CHUNK = 5, 80, 128, 32, 128
 SMALL, PERMUTATIONS, BLOCK, COLUMNS = 384, 2, 1024, 4096
@@ -212,7 +212,7 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shing
     known = components(scratch.cut(confirm(asked, read, shingle, percent, scratch)), scratch)
     links = scratch.cut(_rest(alone, known, read, shingle, percent, scratch))
     if not links.isEmpty():
-        known = _merged(known, links, scratch)
+        known = merged(known, links, scratch)
     found = member.join(known.withColumnRenamed("id", "lead"), "lead", "left")
     return found.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "lead").alias("component_id"))
 
@@ -329,13 +329,3 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
         table[owner[own], at[own] - begin] = 1
         out += table @ table.T
     return out
-
-
-def _merged(known: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """The components after more links, found between the components so far."""
-    of = lambda n: known.select(F.col("id").alias(n), F.col("component").alias(f"{n}_group"))
-    both = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    over = components(both.select(F.coalesce("a_group", "a").alias("a"), F.coalesce("b_group", "b").alias("b")), scratch)
-    every = known.unionByName(over.join(known, "id", "left_anti").select("id", F.col("id").alias("component")))
-    named = over.select(F.col("id").alias("component"), F.col("component").alias("now"))
-    return scratch.cut(every.join(named, "component", "left").select("id", F.coalesce("now", "component").alias("component")))
