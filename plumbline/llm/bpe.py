@@ -18,7 +18,8 @@ Decoding emits the labels (bytes) of the arcs.
 
 Memory: a task's tables stop growing at ``MAX_STATES`` states and are read on; the
 table of words is emptied at ``MAX_WORDS``; words over ``LONG_WORD`` bytes keep no
-states.  Every word is read in full.
+states.  Every word is read in full.  Ids leave as an Arrow array of 32-bit numbers,
+some rows at a time, and a text decoded to compare it is not kept.
 
 Edge cases: a null or empty text has no tokens and decodes to an empty text; the
 strings of special tokens in a text become their ids, as the library does.
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -35,11 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.llm import text as tx
-from plumbline.llm.cluster import fresh, map_texts
+from plumbline.llm.cluster import fresh, map_texts, others
 
 #: Fixed value: the public pattern that splits a text into words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-MAX_STATES, MAX_WORDS, LONG_WORD = 500_000, 600_000, 64
+MAX_STATES, MAX_WORDS, LONG_WORD = 200_000, 200_000, 64
 
 
 def _byte_letters() -> dict[str, int]:
@@ -199,9 +201,20 @@ class Decoder(dict):
         return b"".join(map(self.__getitem__, ids.split(","))).decode("utf-8", "replace") if ids else ""
 
 
-def tokenize(docs: DataFrame, path: str, *, text: str = "text", into: str = "bpe", keep: list[str] | None = None, digests: bool = False) -> DataFrame:
-    """Add a struct of ``n_tokens`` and either ``ids`` and the ``decoded`` text, or with ``digests`` their sha256.
+#: What ``tokenize`` can tell of the decoded text beside the ids.
+DECODED = {"decoded": T.StringType(), "exact": T.BooleanType()}
 
+
+def _id_lists(runs: list[str], n: list[int]) -> pa.Array:
+    """Lists of ids written as decimals with commas."""
+    values = np.fromstring(",".join([r for r in runs if r]), np.int32, sep=",") if any(n) else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(values))
+
+
+def tokenize(docs: DataFrame, path: str, *, text: str = "text", into: str = "bpe", keep: list[str] | None = None, digests: bool = False, told: str = "decoded") -> DataFrame:
+    """Add a struct of ``n_tokens``, ``ids`` and what is ``told`` of the decoding: the ``decoded`` text, or whether it is ``exact``.
+
+    With ``digests`` the struct has the sha256 of ids and decoded text instead.
     ``path`` is the vocabulary file, read on the driver; its size bounds the broadcast.
     """
     held = docs.sparkSession.sparkContext.broadcast(Automaton.load(path))
@@ -217,14 +230,14 @@ def tokenize(docs: DataFrame, path: str, *, text: str = "text", into: str = "bpe
                 run = encoder.encode(t)
                 back = decoder.decode(run)
                 n.append(run.count(",") + 1 if run else 0)
-                ids.append(tx.sha256(run.encode()) if digests else list(map(int, run.split(","))) if run else [])
-                decoded.append(tx.sha256(back.encode()) if digests else back)
-            return [pa.array(n, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                ids.append(tx.sha256(run.encode()) if digests else run)
+                decoded.append(tx.sha256(back.encode()) if digests else back if told == "decoded" else back == t)
+            return [pa.array(n, pa.int64()), pa.array(ids, pa.string()) if digests else _id_lists(ids, n), pa.array(decoded, pa.bool_() if told == "exact" and not digests else pa.string())]
 
         return work
 
-    kinds = [("n_tokens", T.LongType()), *((("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())) if digests else (("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())))]
-    made = fresh(docs, *[k for k, _ in kinds])
+    kinds = [("n_tokens", T.LongType()), *((("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())) if digests else (("ids", T.ArrayType(T.IntegerType())), (told, DECODED[told])))]
     names = docs.columns if keep is None else keep
+    made = fresh(docs, *[k for k, _ in kinds])
     found = map_texts(docs, text, make, [T.StructField(m, t) for m, (_, t) in zip(made, kinds, strict=True)], names)
-    return found.select(*[F.col(f"`{c}`") for c in names], F.struct(*[F.col(m).alias(k) for m, (k, _) in zip(made, kinds, strict=True)]).alias(into))
+    return found.select(*others(names, into), F.struct(*[F.col(m).alias(k) for m, (k, _) in zip(made, kinds, strict=True)]).alias(into))
