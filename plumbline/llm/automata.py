@@ -18,9 +18,9 @@ the automaton of the ones before it, and then extends the automaton if it holds
 anything new.
 
 Edge cases: a null or empty text has no words; texts shorter than a window lose
-nothing; rows of equal id, and those with a null id (which come last), count as one
-document whose equal positions do not remove each other; an empty table gives an
-empty result.
+nothing; rows of equal id, and those with a null id (which come last), remove nothing
+from each other, only from later ids and from later places in themselves; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -102,20 +102,41 @@ class SuffixAutomaton:
 
 def resolve(c: repeats.Contested) -> np.ndarray:
     """For each window of contested passages: whether it starts earlier in the corpus."""
-    out = np.zeros(int(c.windows.sum()), bool)
-    anchor, at, windows = c.anchor.tolist(), c.at.tolist(), c.windows.tolist()
-    shard, known, spot, need = None, None, 0, c.length
+    out, need = np.zeros(int(c.windows.sum()), bool), c.length
+    spot = (np.cumsum(c.windows) - c.windows).tolist()
+    anchor, doc, row, begin, at, windows = (x.tolist() for x in (c.anchor, c.doc, c.row, c.begin, c.at, c.windows))
+    starts = lambda *keys: [i for i in range(len(anchor)) if not i or any(k[i] != k[i - 1] for k in keys)]
+    several = np.zeros(len(anchor), bool)  # passages of ids with several rows under the anchor
+    groups = [*starts(anchor, doc), len(anchor)]
+    for a, b in zip(groups[:-1], groups[1:], strict=True):
+        several[a:b] = row[a] != row[b - 1]
+    shard = known = own = None
+    waiting: list[list[int]] = []
     for i in range(len(anchor)):
         words = c.symbols[at[i] : at[i] + windows[i] + need - 1].tolist()
         if anchor[i] != shard:
-            shard, known = anchor[i], SuffixAutomaton()
-            known.add(words)
+            shard, known, own, waiting = anchor[i], SuffixAutomaton(), None, []
+        elif doc[i] != doc[i - 1]:
+            for held in waiting:
+                known.add(held)
+            own, waiting = None, []
+        elif (row[i], begin[i]) == (row[i - 1], begin[i - 1]):  # the same row again
+            out[spot[i] : spot[i] + windows[i]] = out[spot[i - 1] : spot[i - 1] + windows[i]]
+            continue
+        elif row[i] != row[i - 1]:
+            own = None
+        hits = [n >= need for n in known.matching(words)[need - 1 :]]
+        if own:
+            hits = [a or n >= need for a, n in zip(hits, own.matching(words)[need - 1 :], strict=True)]
+        out[spot[i] : spot[i] + windows[i]] = hits
+        if all(hits):
+            continue
+        if several[i]:
+            own = own or SuffixAutomaton()
+            own.add(words)
+            waiting.append(words)
         else:
-            hits = [n >= need for n in known.matching(words)[need - 1 :]]
-            out[spot : spot + windows[i]] = hits
-            if not all(hits):
-                known.add(words)
-        spot += windows[i]
+            known.add(words)
     return out
 
 
@@ -166,7 +187,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
             kept += z
         return [pa.array(np.concatenate(size), pa.int64()), pa.array(np.concatenate(removed), pa.int64()), pa.array(kept, pa.string())]
 
-    return repeats.gather(docs, spans, n, finish, f"n_words long, n_removed long, {'kept_sha256' if digests else 'kept'} string", doc_id=doc_id, text=text)
+    return repeats.gather(docs, spans, n, kind, finish, f"n_words long, n_removed long, {'kept_sha256' if digests else 'kept'} string", doc_id=doc_id, text=text)
 
 
 def shards(reference: DataFrame, text: str, shard_words: int):

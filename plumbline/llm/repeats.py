@@ -23,7 +23,11 @@ symbol, and only one record a passage is shuffled.
 5. ``gather``: documents meet the spans of steps 3 and 4.
 
 Records travel as byte strings, one a bucket and batch, so rows are few and the
-work on them is vectorised.  Buckets follow the session's shuffle partitions.
+work on them is vectorised.  Buckets follow the session's shuffle partitions, and the
+size of the table where that asks for more.
+
+A row is known by its id and a hash of its symbols: rows that share an id are told
+apart, and do not remove anything from each other.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import text as tx
-from plumbline.llm.cluster import Scratch, partitions
+from plumbline.llm.cluster import Scratch, parts
 
 U64 = np.uint64
 HOT = 4096
@@ -68,7 +72,7 @@ def of_words(block: tx.Block) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Prints:
-    """The passages of a block: text, first and last window, anchor position; hashes of anchor and passage."""
+    """The passages of a block: text, first and last window, anchor position; hashes of anchor, passage and whole text."""
 
     text: np.ndarray
     begin: np.ndarray
@@ -76,6 +80,12 @@ class Prints:
     at: np.ndarray
     anchor: np.ndarray
     passage: np.ndarray
+    row: np.ndarray
+
+
+def row_hashes(rolling: tx.Rolling, first: np.ndarray) -> np.ndarray:
+    """A hash of the symbols of each text."""
+    return rolling.ranges(first[:-1], first[1:])
 
 
 def prints(values: np.ndarray, first: np.ndarray, kind: Kind) -> Prints:
@@ -89,7 +99,7 @@ def prints(values: np.ndarray, first: np.ndarray, kind: Kind) -> Prints:
     begin, end, at = start[a], start[b - 1] if len(b) else a, picked[a]
     whole = rolling.raw(begin, end + kind.length)
     passage = tx.mix(tx.mix(whole) ^ ((end - begin).astype(U64) << U64(32)) ^ (at - begin).astype(U64))
-    return Prints(text[begin], begin, end, at, grams[at], passage)
+    return Prints(text[begin], begin, end, at, grams[at], passage, row_hashes(rolling, first)[text[begin]])
 
 
 def mixed_id(ids: np.ndarray) -> np.ndarray:
@@ -253,8 +263,8 @@ def _is_in(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
     return sorted_keys[at] == keys
 
 
-def _span_row(part: int, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[int, int, bytes]:
-    return part, SPANS, pack(ids.astype(np.int64), begin.astype(np.int64), end.astype(np.int64))
+def _span_row(part: int, ids: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[int, int, bytes]:
+    return part, SPANS, pack(ids.astype(np.int64), row.astype(U64), begin.astype(np.int64), end.astype(np.int64))
 
 
 def passages(kind: Kind, n: int):
@@ -279,14 +289,13 @@ def passages(kind: Kind, n: int):
                 doc = ids[p.text + block.first]
                 key = key_of(joint(p.anchor & CUT48, p.passage & CUT48), doc)
                 copy = _is_in(key, known[COPY])
-                repeat = np.zeros(len(key), bool)
-                if kind.within:
-                    repeat[:] = True
-                    repeat[np.unique(key, return_index=True)[1]] = False
-                    copy |= repeat
+                if kind.within:  # a passage's later places in its own text
+                    order = np.lexsort((p.begin, key, p.text))
+                    again = (key[order][1:] == key[order][:-1]) & (p.text[order][1:] == p.text[order][:-1])
+                    copy[order[1:][again]] = True
                 base = first[p.text]
                 if copy.any():
-                    out.append(_span_row(int(part[block.first]), doc[copy], (p.begin - base)[copy], (p.end - base)[copy] + kind.length))
+                    out.append(_span_row(int(part[block.first]), doc[copy], p.row[copy], (p.begin - base)[copy], (p.end - base)[copy] + kind.length))
                 for which, alone in ((CONTEST, False), (CROWD, True)):
                     some = np.flatnonzero(_is_in(key, known[which]) & ~copy)
                     if not len(some):
@@ -306,7 +315,7 @@ def passages(kind: Kind, n: int):
                     for b in np.flatnonzero(np.diff(cut)):
                         own = order[cut[b] : cut[b + 1]]
                         take = np.repeat(at[own] - np.cumsum(size[own]) + size[own], size[own]) + np.arange(size[own].sum())
-                        sent.setdefault(int(b), []).append((anchor[own], doc[some[own]], (begin - base[some])[own], (end - begin + 1)[own].astype(np.int32), (p.at[some] - begin)[own].astype(np.int32), symbols[take]))
+                        sent.setdefault(int(b), []).append((anchor[own], doc[some[own]], p.row[some[own]], (begin - base[some])[own], (end - begin + 1)[own].astype(np.int32), (p.at[some] - begin)[own].astype(np.int32), symbols[take]))
             for b, parts in sent.items():
                 out.append((b, PASSAGES, pack(*(np.concatenate(x) for x in zip(*parts, strict=True)))))
             yield from rows(out)
@@ -316,10 +325,11 @@ def passages(kind: Kind, n: int):
 
 @dataclass
 class Contested:
-    """Passages of a bucket, by anchor, document and position: number of windows, offset of the anchor, and where the symbols begin."""
+    """Passages of a bucket, by anchor, document, row and position: number of windows, offset of the anchor, and where the symbols begin."""
 
     anchor: np.ndarray
     doc: np.ndarray
+    row: np.ndarray
     begin: np.ndarray
     windows: np.ndarray
     offset: np.ndarray
@@ -328,7 +338,7 @@ class Contested:
     length: int
 
     def part(self, a: int, b: int) -> Contested:
-        return Contested(*(x[a:b] for x in (self.anchor, self.doc, self.begin, self.windows, self.offset, self.at)), self.symbols, self.length)
+        return Contested(*(x[a:b] for x in (self.anchor, self.doc, self.row, self.begin, self.windows, self.offset, self.at)), self.symbols, self.length)
 
 
 def contests(kind: Kind, n: int, resolve: Callable[[Contested], np.ndarray]):
@@ -344,12 +354,12 @@ def contests(kind: Kind, n: int, resolve: Callable[[Contested], np.ndarray]):
                     parts.append(unpack(blob))
         if not parts:
             return
-        anchor, doc, begin, windows, offset, symbols = (np.concatenate([np.frombuffer(p[i], t) for p in parts]) for i, t in enumerate((U64, np.int64, np.int64, np.int32, np.int32, kind.dtype)))
+        anchor, doc, row, begin, windows, offset, symbols = (np.concatenate([np.frombuffer(p[i], t) for p in parts]) for i, t in enumerate((U64, np.int64, U64, np.int64, np.int32, np.int32, kind.dtype)))
         parts.clear()
         size = windows.astype(np.int64) + kind.length - 1
         at = np.cumsum(size) - size
-        order = np.lexsort((begin, doc, anchor))
-        c = Contested(anchor[order], doc[order], begin[order], windows[order], offset[order], at[order], symbols, kind.length)
+        order = np.lexsort((begin, row, doc, anchor))
+        c = Contested(anchor[order], doc[order], row[order], begin[order], windows[order], offset[order], at[order], symbols, kind.length)
         group = np.concatenate(([0], np.flatnonzero(c.anchor[1:] != c.anchor[:-1]) + 1, [len(c.anchor)]))
         i = 0
         while i < len(group) - 1:  # whole anchors, about a block of symbols at a time
@@ -361,9 +371,10 @@ def contests(kind: Kind, n: int, resolve: Callable[[Contested], np.ndarray]):
             hit = resolve(own)
             which = np.repeat(np.arange(len(own.doc)), own.windows)
             start = own.begin[which] + np.arange(len(which)) - np.repeat(np.cumsum(own.windows) - own.windows, own.windows)
-            ids, start = own.doc[which[hit]], start[hit]
+            ids, row, start = own.doc[which[hit]], own.row[which[hit]], start[hit]
             order, cut = deal(part_of_id(ids, n), n)
-            yield from rows([_span_row(int(p), ids[order[cut[p] : cut[p + 1]]], start[order[cut[p] : cut[p + 1]]], start[order[cut[p] : cut[p + 1]]] + kind.length) for p in np.flatnonzero(np.diff(cut))])
+            ids, row, start = ids[order], row[order], start[order]
+            yield from rows([_span_row(int(p), *(x[cut[p] : cut[p + 1]] for x in (ids, row, start, start + kind.length))) for p in np.flatnonzero(np.diff(cut))])
             i = j
 
     return run
@@ -371,8 +382,7 @@ def contests(kind: Kind, n: int, resolve: Callable[[Contested], np.ndarray]):
 
 def find(docs: DataFrame, kind: Kind, resolve: Callable[[Contested], np.ndarray], *, doc_id: str, text: str) -> tuple[DataFrame, int]:
     """Rows of spans [start, end) of symbols by part of their documents, and the number of parts."""
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    n = partitions(spark)
+    scratch, n = Scratch(docs.sparkSession), parts(docs, text)
     read = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     part = F.col("part")
     told = scratch.cut(read.mapInArrow(fingerprints(kind, n), ROW).repartitionById(n, part).mapInArrow(answers(n), ROW))
@@ -387,7 +397,7 @@ def dealt(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(part_column(F.col("id"), n).alias("part"), F.lit(DOCS).alias("kind"), F.lit(None).cast("binary").alias("blob"), "id", "text")
 
 
-def gather(docs: DataFrame, spans: DataFrame, n: int, finish, schema: str, *, doc_id: str, text: str) -> DataFrame:
+def gather(docs: DataFrame, spans: DataFrame, n: int, kind: Kind, finish, schema: str, *, doc_id: str, text: str) -> DataFrame:
     """Step 5: ``finish(ids, column, spans)`` makes result arrays; ``spans(i)`` are the begins and ends of text i."""
     read = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
 
@@ -398,13 +408,20 @@ def gather(docs: DataFrame, spans: DataFrame, n: int, finish, schema: str, *, do
             found += [unpack(batch.column(2)[int(i)].as_py()) for i in np.flatnonzero(kinds == SPANS)]
             if (kinds == DOCS).any():
                 kept.append(batch.filter(pa.array(kinds == DOCS)).select([3, 4]))
-        ids, begin, end = (np.concatenate([np.frombuffer(f[k], np.int64) for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+        ids, row, begin, end = (np.concatenate([np.frombuffer(f[k], t) for f in found]) if found else np.zeros(0, t) for k, t in enumerate((np.int64, U64, np.int64, np.int64)))
         order = np.argsort(ids, kind="stable")
-        ids, begin, end = ids[order], begin[order], end[order]
+        ids, row, begin, end = ids[order], row[order], begin[order], end[order]
+        held, times = np.unique(np.concatenate([ids_of(batch.column(0)) for batch in kept]) if kept else ids, return_counts=True)
+        shared = held[times > 1]
         for batch in kept:
             own = ids_of(batch.column(0))
             a, b = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
-            yield pa.RecordBatch.from_arrays([batch.column(0), *finish(batch.column(1), lambda i: (begin[a[i] : b[i]], end[a[i] : b[i]]))], names=names)
+            unlike = {}  # rows that share their id take the spans of their own text
+            for i in np.flatnonzero(_is_in(own, shared) & (b > a)).tolist():
+                values, first = kind.symbols(next(tx.blocks(batch.column(1).slice(i, 1))))
+                unlike[i] = np.flatnonzero(row[a[i] : b[i]] == row_hashes(tx.Rolling(values), first)[0]) + a[i]
+            of = lambda i: (begin[unlike[i]], end[unlike[i]]) if i in unlike else (begin[a[i] : b[i]], end[a[i] : b[i]])  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([batch.column(0), *finish(batch.column(1), of)], names=names)
 
     names = ["id", *[f.split()[0] for f in schema.split(", ")]]
     both = dealt(read, n).unionByName(spans, allowMissingColumns=True).repartitionById(n, F.col("part"))

@@ -185,4 +185,4 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
                 kept.append(tx.sha256(left) if digests else left)
         return [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.string() if digests else pa.binary())]
 
-    return repeats.gather(docs, spans, n, finish, f"n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digests else 'kept binary'}", doc_id=doc_id, text=text)
+    return repeats.gather(docs, spans, n, kind, finish, f"n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digests else 'kept binary'}", doc_id=doc_id, text=text)
