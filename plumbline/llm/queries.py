@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import automata, bpe, decontamination, hpyp, licenses, lines, neardup, quality, suffixes, toxicity
+from plumbline.llm import automata, bpe, decontamination, hpyp, licenses, lines, neardup, quality, sql, suffixes, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -87,4 +87,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_quality_rules, op3_line_dedup, op4_suffix_array, op5_bpe, op6_decontamination, op7_near_dedup, op8_substring_dedup, op9_license_scan, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+ORACLES = sql.ORACLES

@@ -88,8 +88,8 @@ def test_near_duplicates(docs):
 
 
 def test_near_duplicates_of_a_template(spark, monkeypatch):
-    """Pairs at 0.83 in a family at 0.75 are found whatever the number of draws."""
-    monkeypatch.setattr(neardup, "MOST_DRAWS", 0)
+    """Pairs at 0.83 in a family at 0.75 are found in blocks too."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
     template, texts = prose(600, 147), []
     for i in range(60):
         head = prose(700 + i, 8)
@@ -198,3 +198,134 @@ def test_language_model(docs):
     assert found[12].n_tokens == found[13].n_tokens == 1 and found[None].held_out
     assert found[9].n_tokens == 61 and found[9].score > found[9].base_score
     assert hpyp.score(df.limit(0)).count() == 0
+
+
+def test_equal_rows_are_not_wiped_out(spark):
+    """Rows that share an id lose nothing to each other, whatever batch they come in; later ids and places do."""
+    text, other = prose(1, 60), prose(2, 60)
+    rows = [(1, text), (1, text), (1, f"{other} {prose(3, 25)}"), (2, f"{text} {text}"), (None, text), (None, other)]
+    for parts in (1, 6):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+        words = sorted((r.doc_id or 9, r.n_words, r.n_removed) for r in automata.remove_repeats(df).collect())
+        assert words == [(1, 60, 0), (1, 60, 0), (1, 85, 0), (2, 120, 120), (9, 60, 60), (9, 60, 60)]
+        first = sorted((r.doc_id or 9, r.n_removed) for r in suffixes.remove_repeats(df).collect())
+        assert [n for i, n in first if i == 1] == [0, 0, 0] and all(n for i, n in first if i > 1)
+    within = spark.createDataFrame([(1, f"{text} {text}"), (1, f"{other} {other}")], SCHEMA)
+    assert sorted(r.n_removed for r in automata.remove_repeats(within).collect()) == [60, 60]
+
+
+def test_equal_ids_keep_their_own_spans(spark):
+    text, own = prose(1, 40), prose(5, 40)
+    rows = [(1, text), (2, f"{text} {own}"), (2, own)]
+    found = sorted((r.n_words, r.n_removed, r.kept) for r in automata.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert found == sorted([(40, 0, own), (40, 0, text), (80, 40, own)])
+
+
+def test_license_units(spark):
+    wrapped = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\nimport os\n" + "x = 1\n" * 50
+    title = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation\n"
+    long, short = (" ".join(["w" * n] * 15) + " Released under the MIT License." for n in (300, 3))
+    rows = [("a/x.py", wrapped), ("b/COPYING", title), ("b/c/y", "z"), ("d/x", "Licensed under CC BY-NC 4.0."), ("d/y", "z"), ("e/x", long), ("e/y", "z"), ("f/x", short), ("f/y", "z"), ("g/x", None), ("h/x", "")]
+    found = {r.path: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert found["a/x.py"] == ("GPL-3.0", "header") and found["b/COPYING"] == ("GPL-3.0", "header") and found["b/c/y"] == ("GPL-3.0", "directory")
+    assert found["d/x"] == ("CC-BY-NC-4.0", "header") and found["d/y"] == ("CC-BY-NC-4.0", "directory")
+    assert found["e/y"] == found["f/y"] == (None, "none")  # the length of the words does not matter
+    import re as regex
+
+    assert all(regex.search(licenses.CUE, t) for _, t in licenses.TEMPLATES)
+
+
+def test_license_columns_that_clash(spark):
+    df = spark.createDataFrame([("a/LICENSE", "Released under the MIT License.", "mine", 1)], "path string, text string, license string, Cosine int")
+    out = licenses.scan(df, keep=["path", "license", "Cosine"])
+    assert out.columns == ["path", "license", "cosine", "origin"] and out.first().license == "MIT"
+    assert licenses.scan(df, keep=["license"]).columns == ["license", "cosine", "origin"]
+
+
+def test_toxicity_without_labels_of_both_kinds(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None)], SCHEMA)
+    for rows, want in (([], 0.0), ([(1, 1)], 1.0), ([(1, 0), (2, 0)], 0.0), ([(1, 1), (1, 0)], 0.0), ([(None, 1), (2, None)], 0.0)):
+        model = toxicity.fit(df, spark.createDataFrame(rows, "doc_id long, toxic int"), lang=None)
+        assert {r.toxicity.score for r in toxicity.classify(df, model, lang=None).collect()} == {want}
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    df = spark.createDataFrame([(i, "word " * (1000 if i == 3 else 10)) for i in range(12)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    table = toxicity._sample(df, labels, "text", "doc_id", "toxic", None, None, (100, 100), 400)
+    assert sum(map(len, table["text"].to_pylist())) <= 400 and 3 not in table["id"].to_pylist() and table.num_rows == 8
+
+
+def test_quality_joins_when_labels_are_many(spark):
+    texts = [(i, prose(i, 100) if i % 3 else " ".join(f"{w}***" for w in prose(i, 100).split())) for i in range(60)]
+    df, labels = spark.createDataFrame(texts, SCHEMA), spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in texts], "doc_id long, quality int")
+    few, many = ({r.doc_id: (r.q.score, r.q.kept) for r in quality.judge(df, labels, into="q", max_held=n).collect()} for n in (1000, 0))
+    assert few == many and all(few[i][1] == bool(i % 3) for i in few)
+
+
+def test_columns_that_clash(spark):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(1, prose(1, 60), "mine", 7)], "doc_id long, text string, found string, Score int")
+    labels, bench = spark.createDataFrame([(1, 1)], "doc_id long, quality int"), spark.createDataFrame([("a", "b c")], "item_id string, text string")
+    made = [quality.judge(df, labels, into="found"), bpe.tokenize(df, path, into="FOUND"), decontamination.find_contamination(df, bench, into="found"), toxicity.classify(df, toxicity.Model(), lang=None, into="score"), lines.dedup(df, report=("found", "score"))]
+    for out in made:
+        names = [c.lower() for c in out.columns]
+        assert len(set(names)) == len(names) and out.count() == 1
+
+
+def test_empty_tables(spark):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    df = spark.createDataFrame([], SCHEMA)
+    labels, bench = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id string, text string")
+    made = [hpyp.score(df), quality.judge(df, labels), lines.dedup(df), suffixes.remove_repeats(df), bpe.tokenize(df, path), decontamination.find_contamination(df, bench), neardup.groups(df), automata.remove_repeats(df), automata.remove_reference(df, df), licenses.scan(df.withColumnRenamed("doc_id", "path").selectExpr("cast(path as string) path", "text")), toxicity.classify(df, toxicity.fit(df, labels, lang=None), lang=None)]
+    assert [out.count() for out in made] == [0] * len(made)
+
+
+def test_empty_benchmark_hits_nothing(spark):
+    df = spark.createDataFrame([(1, prose(1, 30)), (1, prose(1, 30)), (None, None)], SCHEMA)
+    out = decontamination.find_contamination(df, spark.createDataFrame([], "item_id string, text string"), into="c").collect()
+    assert sorted((r.doc_id or 0, r.c.n_words, r.c.spans, r.c["items"]) for r in out) == [(0, 0, [], []), (1, 30, [], []), (1, 30, [], [])]
+
+
+def test_ties_in_the_quality_threshold():
+    assert quality.least_harm(np.array([3.0, 4.0]), np.array([1.0, 2.0]), 20) == 2.5
+    assert quality.least_harm(np.array([]), np.array([1.0]), 20) == -np.inf
+    same = np.array([1.0, 1.0])
+    assert quality.least_harm(same, same, 20) <= 1.0
+
+
+def test_near_duplicate_blocks(spark):
+    """A chain of copies in one bucket is one group, rows of equal id and repeated rows included."""
+    words = prose(7, 200).split()
+    rows = [(i, " ".join([*words[:150], *(f"v{i // 2}x{k}" for k in range(10)), *words[160:]])) for i in range(40)]
+    rows += [(3, rows[3][1]), (3, "another text of the same id with some words")]
+    found = {}
+    for r in neardup.groups(spark.createDataFrame(rows, SCHEMA), shingle=4).collect():
+        found.setdefault(r.doc_id, set()).add(r.component_id)
+    assert all(min(found[i]) == 0 for i in range(40))
+
+
+def test_shared_members():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 20_000, n).astype(np.uint64)) for n in (0, 1, 5000, 9000, 9000)]
+    got = neardup._shared(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(5) for j in range(5) if i != j)
+
+
+def test_line_signatures_agree(spark):
+    """The share of agreeing slots follows the similarity, so that no alike pair is left unasked."""
+    base = prose(5, 60)
+    texts = [base, base.replace(base[100:110], "qqqqqqqqqq"), prose(6, 60), "short line", "short lime"]
+    once = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "h1 long, line string")
+    signed = lines.signatures(once)
+    assert {r.h1: len(r.bands) for r in signed.collect()}[0] == lines.BANDS
+    edges = spark.createDataFrame([(0, 1), (0, 2), (3, 4)], "a long, b long")
+    asked = {tuple(r) for r in lines._asked(edges, signed, Scratch(spark)).collect()}
+    assert (0, 1) in asked and (0, 2) not in asked
+
+
+def test_line_edge_cases(spark):
+    rows = [(1, "same line of some length here\nsame line of some length here"), (1, "same line of some length here"), (2, "x"), (3, "x"), (4, "\n\n"), (5, "é😀日本" * 30 + "\n" + "é😀日本" * 30 + "!"), (6, "a" * 5000), (7, "a" * 5001)]
+    got = sorted((r.doc_id, r.text) for r in lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect())
+    kept = [t for i, t in got if i == 1]
+    assert sorted(map(len, kept)) == [0, 29] and dict(got)[3] == "" and dict(got)[4] == "\n\n" and dict(got)[5] == "é😀日本" * 30 and dict(got)[7] == ""
