@@ -22,8 +22,12 @@ def query(*tables: str):
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return f(*[view(spark, sf_dir, t) for t in tables])
+            zone = spark.conf.get("spark.sql.session.timeZone")
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # a plan takes the zone when it is made
+            try:
+                return f(*[view(spark, sf_dir, t) for t in tables])
+            finally:
+                spark.conf.set("spark.sql.session.timeZone", zone)
 
         QUERIES[f.__name__] = run
         return f
@@ -194,7 +198,23 @@ def headline(r, s):
 
 @query("v_reviews", "v_listings")
 def verdict_texts(r, s):
-    return scoring.verdict(_analysis(r, s)).select("asin", "headline", "basis")
+    return scoring.verdict(_analysis(r, s)).select("asin", "headline", "advice", "basis", "popup", "confidence_label", "grade_meaning")
+
+
+@query("v_reviews", "v_listings")
+def review_reasons(r, s):
+    return scoring.assess(r, s, AS_OF).select("asin", "review_id", F.array_join("reasons", " | ").alias("reasons"))
+
+
+@query("v_reviews", "v_listings")
+def signal_details(r, s):
+    found = scoring.signal_details(scoring.assess(r, s, AS_OF), s)
+    return found.select("asin", "signal", "label", "status", scoring.label("status", F.col("status")).alias("status_label"), r6("score").alias("score"), "weight", r6("confidence").alias("confidence"), "detail", F.array_join("evidence", " | ").alias("evidence"))
+
+
+@query("v_snapshots")
+def distribution_details(s):
+    return signals.distribution(s).select("asin", "status", "detail", F.array_join("evidence", " | ").alias("evidence"))
 
 
 def _sightings(r):
@@ -327,11 +347,22 @@ def interstitial_pages(p):
     return p.groupBy(pages.is_interstitial(F.col("html")).alias("interstitial")).agg(F.count("*").alias("pages"))
 
 
-@query("pages")
+@query("v_pages")
 def page_snapshots(p):
+    return pages.snapshots(p).select("page_id", "asin", "title", "displayed_rating", "total_ratings", *[f"h{k}" for k in range(1, 6)])
+
+
+@query("v_pages")
+def page_coverage(p):
     return pages.coverage(pages.snapshots(p))
 
 
+@query("v_pages")
+def page_reviews(p):
+    found = pages.reviews(pages.snapshots(p))
+    return found.select("page_id", "asin", "review_id", "title", F.col("rating").cast("long").alias("rating"), "review_date", "verified", "helpful_votes", "reviewer_id", "reviewer_name", F.md5("text").alias("text_md5"))
+
+
 @query("v_snapshots")
 def histogram_plausible(s):
     bars = F.array(*[F.col(f"h{i}") for i in range(1, 6)])
@@ -339,20 +370,49 @@ def histogram_plausible(s):
     return s.select("asin", ((F.size(F.filter(bars, lambda x: x.isNotNull())) >= 4) & total.between(80, 120)).alias("plausible"))
 
 
-def _deep(r):
-    found = corpus.text_finding(r, corpus.template_findings(r, _sightings(r)), corpus.machine_findings(r))
-    return corpus.augmentation(found.select("asin", F.lit("ai-text").alias("signal"), F.lit(0).alias("ord"), "status"))
+def _edges(r):
+    return r.where("reviewer_id <> ''").select(F.col("reviewer_id").alias("reviewer"), "asin").distinct()
+
+
+def _findings(r):
+    return corpus.review_findings(r, _sightings(r), _edges(r))
+
+
+def _past(o):
+    return corpus.history(corpus.dedupe_observations(o))
 
 
 @query("v_reviews")
-def deep_augmentation(r):
-    return _deep(r).select("asin", "signal", "status", "score", "weight", "confidence")
+def review_findings(r):
+    found = _findings(r).where("d_template is not null or d_machine is not null or d_network is not null")
+    return found.select("asin", "review_id", *[r6(f"d_{f}").alias(f) for f in scoring.DEEP_FINDINGS], F.concat_ws(" | ", *[f"r_{f}" for f in scoring.DEEP_FINDINGS]).alias("reasons"))
 
 
-@query("v_reviews", "v_listings")
-def deep_reanalysis(r, s):
-    deltas = corpus.template_findings(r, _sightings(r)).select("asin", "review_id", "delta").unionByName(corpus.machine_findings(r).select("asin", "review_id", "delta"))
-    return scoring.analyse(r, s, AS_OF, deltas, _deep(r)).select("asin", "trust_score", "grade", "discounted_count", "concerning_signals")
+@query("v_reviews", "v_history")
+def product_findings(r, o):
+    return corpus.product_findings(_findings(r), _past(o)).select("asin", "signal", "label", "status", "detail", F.array_join("evidence", " | ").alias("evidence"))
+
+
+@query("v_reviews", "v_history")
+def deep_augmentation(r, o):
+    return corpus.augmentation(corpus.product_findings(_findings(r), _past(o))).select("asin", "signal", "label", "status", "score", "weight", "confidence")
+
+
+@query("v_reviews", "v_listings", "v_history")
+def deep_reanalysis(r, s, o):
+    deep = _findings(r)
+    return scoring.analyse(r, s, AS_OF, deep, corpus.history_status(_past(o))).select("asin", "trust_score", "grade", "discounted_count", "concerning_signals", r6("mean_suspicion").alias("mean_suspicion"))
+
+
+@query("v_reviews", "v_history")
+def deep_answers(r, o):
+    """Every second listing is asked about; a third of the listings have an answer cached an hour ago."""
+    now, own = F.lit("2026-07-01 12:00:00").cast("timestamp"), F.substring("asin", 4, 20).cast("long") % 6
+    requests = o.where(own % 2 == 0).groupBy("asin").agg(F.max("obs_id").alias("last")).select("asin", (F.col("last") + 1_000_000_000).alias("obs_id"), now.alias("observed_at"), F.lit(4.0).alias("displayed_rating"), F.lit(250).cast("long").alias("total_ratings"), F.lit("t0").alias("title_hash"))
+    cache = o.select("asin").distinct().where(own < 2).select("asin", F.lit("{}").alias("payload"), F.expr("timestamp '2026-07-01 11:00:00'").alias("computed_at"))
+    known = {"sightings": _sightings(r), "edges": _edges(r), "observations": o, "cache": cache}
+    answers, _ = corpus.deep_analysis(r, requests, known, now)
+    return answers.select("asin", "cached", F.size(F.from_json("payload", "reviewFindings array<string>, productFindings array<string>, corpusObservations long")["productFindings"]).alias("n")).select("asin", "cached", F.greatest("n", F.lit(0)).cast("long").alias("product_findings"))
 
 
 @query("conversations")

@@ -70,8 +70,9 @@ def collapsed(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct three-character runs; none of a text shorter than three."""
-    n = F.trim(collapsed(text))
-    return bound(n, lambda s: F.when(F.length(s) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3))))).otherwise(F.array().cast("array<string>")))
+    letters = F.regexp_extract_all(F.trim(collapsed(text)), F.lit("(?s)."), F.lit(0))  # so that a run is cut at constant cost
+    run = lambda s: lambda i: F.concat(F.get(s, i), F.get(s, i + 1), F.get(s, i + 2))
+    return bound(letters, lambda s: F.when(F.size(s) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(s) - 3, F.lit(0))), run(s)))).otherwise(F.array().cast("array<string>")))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -192,10 +193,10 @@ def parse_votes(raw: Column) -> Column:
 
 
 def parse_review_date(raw: Column) -> Column:
-    d = F.regexp_extract(raw, "(?i)on\\s+(.+)$", 1)
-    return F.coalesce(F.try_to_date(d, "MMMM d, yyyy"), F.try_to_date(d, "d MMMM yyyy"))
+    d = F.trim(F.coalesce(F.nullif(F.regexp_extract(raw, "(?i)on\\s+(.+)$", 1), F.lit("")), raw))
+    return F.coalesce(*[F.try_to_date(d, form) for form in ("MMMM d, yyyy", "d MMMM yyyy", "yyyy-MM-dd")])
 
 
 def asin_of_url(url: Column) -> Column:
-    found = [F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in ("(?i)/dp/([A-Z0-9]{10})", "(?i)/gp/product/([A-Z0-9]{10})", "(?i)/product-reviews/([A-Z0-9]{10})", "(?i)[?&]asin=([A-Z0-9]{10})")]
+    found = [F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in ("(?i)/dp/([A-Z0-9]{10})(?:[/?]|$)", "(?i)/gp/product/([A-Z0-9]{10})(?:[/?]|$)", "(?i)/product-reviews/([A-Z0-9]{10})(?:[/?]|$)", "(?i)[?&]asin=([A-Z0-9]{10})(?![A-Za-z0-9_])")]
     return F.upper(F.coalesce(*found))

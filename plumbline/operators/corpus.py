@@ -4,15 +4,45 @@ Corpus tables: sightings (shingle_hash, asin, day), edges (reviewer, asin),
 observations (obs_id, asin, observed_at, displayed_rating, total_ratings, title_hash,
 histogram), reviews (asin, review_key, ..., first_seen, last_seen), cache (asin,
 payload, computed_at).  Text and network signals read the corpus before a batch adds
-to it; history reads it after.
+to it; history reads it after.  A target is one submission's reviews, sixty at most.
 """
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as tx
+from plumbline.operators import scoring
+
+#: The sentences of the corpus's findings.
+FINDINGS = {
+    "template": "Contains phrasing seen on %d other unrelated products — characteristic of a review written from a template",
+    "machine": "Sentence rhythm, vocabulary range and absence of concrete detail are consistent with generated text",
+    "network": "This reviewer's history overlaps with %d other %s on this product, sharing up to %d unrelated products",
+    "text_pass": "No templated or machine-generated review text detected.",
+    "text_found": "%d review(s) reuse phrasing seen on other products; %d read as machine-generated.",
+    "network_few": "Not enough reviewer profiles were visible on this page to look for coordinated accounts.",
+    "network_pass": "No unusual overlap found between the %d identifiable reviewers on this product.",
+    "network_found": "%d of %d identifiable reviewers have review histories that overlap each other well beyond chance.",
+    "history_few": "This tool has only seen this product once. History-based checks need at least two observations over time.",
+    "hijack_pass": "This listing has sold the same product every time this tool has seen it.",
+    "hijack_fail": "This listing changed product while keeping its existing reviews. Those reviews describe something you are not buying.",
+    "hijack_warn": "This listing has changed product at least once since this tool first saw it.",
+    "hijack_carried": "The product on this listing changed on %s while %s existing ratings carried over.",
+    "hijack_changed": "The product on this listing changed on %s.",
+    "shift_pass": "Rating has been stable across the %d times this tool has seen this product.",
+    "shift_found": "This product’s rating has moved in ways that are hard to explain through organic reviewing.",
+    "shift_few": "Rating moved %s to %s on %s with only %s new ratings against a base of %s — too few to move the average that far honestly.",
+    "shift_many": "Rating moved %s to %s on %s alongside %s new ratings.",
+}
+#: What the product findings are called.
+LABELS = {"ai-text": "Generated and templated text", "reviewer-network": "Reviewer network", "review-hijack": "Listing changes", "rating-history": "Rating history"}
+#: A product with more reviewers than this is counted from the reviewers' side.
+HEAVY = 1000
 
 
 def shingle_sightings(reviews: DataFrame, day: Column) -> DataFrame:
@@ -35,7 +65,7 @@ def template_findings(reviews: DataFrame, sightings: DataFrame) -> DataFrame:
     spread = each.join(known, "shingle_hash").join(held, ["shingle_hash", "asin"], "left").withColumn("spread", F.col("asins") - F.coalesce("own", F.lit(0)))
     g = spread.where("spread >= 3").groupBy("asin", "review_id", "total").agg(F.count("*").alias("reused"), F.max("spread").alias("peak"))
     ratio = F.col("reused") / F.col("total")
-    return g.where(ratio >= 0.25).withColumn("delta", tx.clamp(0.3 + 0.4 * ratio))
+    return g.where(ratio >= 0.25).withColumns({"delta": tx.clamp(0.3 + 0.4 * ratio), "reason": F.format_string(FINDINGS["template"], F.col("peak").cast("long"))})
 
 
 def machine_likelihood(text: Column) -> Column:
@@ -65,17 +95,24 @@ def text_finding(reviews: DataFrame, templates: DataFrame, machines: DataFrame)
     return out.select("asin", "k", F.when(F.col("k") == 0, "pass").when(F.col("k") >= F.greatest(F.lit(2.0), 0.3 * F.col("n")), "fail").otherwise("warn").alias("status"))
 
 
-def shared_products(edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """(r1, r2, shared) of reviewers with two products in common or more.
+def shared_products(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(r1, r2, shared) of the given pairs of reviewers that have two products in common or more.
 
-    With ``targets`` (asin, reviewer) only reviewers of targets take part: a pair is of
-    interest only where both reviewed one target.
+    Products of up to HEAVY reviewers are joined with themselves, so that a product makes
+    a bounded number of pairs for each of its reviewers.  Of the others, a few at most
+    for each reviewer, a reviewer's list is compared with that of the other of the pair.
     """
-    e = edges.select("reviewer", "asin").distinct()
-    if targets is not None:
-        e = e.join(targets.select("reviewer").distinct(), "reviewer", "left_semi")
-    a, b = e.select(F.col("reviewer").alias("r1"), "asin"), e.select(F.col("reviewer").alias("r2"), "asin")
-    return a.join(b, "asin").where("r1 < r2").groupBy("r1", "r2").agg(F.count("*").alias("shared")).where("shared >= 2")
+    asked = pairs.select("r1", "r2").distinct()
+    takes_part = asked.select(F.explode(F.array("r1", "r2")).alias("reviewer")).distinct()
+    e = edges.select("reviewer", "asin").distinct().join(takes_part, "reviewer", "left_semi")
+    heavy = e.groupBy("asin").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("asin")
+    light = e.join(heavy, "asin", "left_anti")
+    a, b = light.select(F.col("reviewer").alias("r1"), "asin"), light.select(F.col("reviewer").alias("r2"), "asin")
+    few = a.join(b, "asin").where("r1 < r2").groupBy("r1", "r2").agg(F.count("*").alias("shared"))
+    lists = e.join(heavy, "asin", "left_semi").groupBy("reviewer").agg(F.collect_set("asin").alias("products"))
+    of = lambda n: lists.select(F.col("reviewer").alias(f"r{n}"), F.col("products").alias(f"p{n}"))
+    many = asked.join(of(1), "r1").join(of(2), "r2").select("r1", "r2", F.size(F.array_intersect("p1", "p2")).cast("long").alias("shared"))
+    return few.unionByName(many).groupBy("r1", "r2").agg(F.sum("shared").alias("shared")).where("shared >= 2")
 
 
 def reviewer_links(targets: DataFrame, edges: DataFrame) -> DataFrame:
@@ -84,21 +121,23 @@ def reviewer_links(targets: DataFrame, edges: DataFrame) -> DataFrame:
     held = edges.select("asin", "reviewer", F.lit(1).alias("own")).distinct()
     own = t.join(held, ["asin", "reviewer"], "left")
     one = lambda n: own.select("asin", F.col("reviewer").alias(f"r{n}"), F.coalesce("own", F.lit(0)).alias(f"own{n}"))
-    pairs = one(1).join(one(2), "asin").where("r1 < r2").join(shared_products(edges, targets), ["r1", "r2"])
+    met = one(1).join(one(2), "asin").where("r1 < r2")
+    pairs = met.join(shared_products(edges, met), ["r1", "r2"])
     return pairs.withColumn("shared", F.col("shared") - F.col("own1") * F.col("own2")).where("shared >= 2").select("asin", "r1", "r2", "shared")
 
 
 def network_findings(targets: DataFrame, edges: DataFrame) -> DataFrame:
     """(asin, review_id, links, peak, delta) for target reviews (asin, review_id, reviewer) with links, where four or more are identifiable."""
-    known = targets.where("reviewer is not null")
+    known = targets.where("reviewer is not null and reviewer <> ''")
     enough = known.groupBy("asin").agg(F.count("*").alias("identifiable")).where("identifiable >= 4")
     links = reviewer_links(known.join(enough, "asin", "left_semi"), edges)
     sides = links.select("asin", F.explode(F.array("r1", "r2")).alias("reviewer"), "shared").groupBy("asin", "reviewer").agg(F.count("*").alias("links"), F.max("shared").alias("peak"))
-    return known.join(enough, "asin").join(sides, ["asin", "reviewer"]).select("asin", "review_id", "identifiable", "links", "peak", F.least(F.lit(1.0), 0.2 + 0.12 * F.col("links") + 0.05 * F.col("peak")).alias("delta"))
+    reason = F.format_string(FINDINGS["network"], "links", F.when(F.col("links") == 1, "reviewer").otherwise("reviewers"), F.col("peak").cast("long"))
+    return known.join(enough, "asin").join(sides, ["asin", "reviewer"]).select("asin", "review_id", "identifiable", "links", "peak", F.least(F.lit(1.0), 0.2 + 0.12 * F.col("links") + 0.05 * F.col("peak")).alias("delta"), reason.alias("reason"))
 
 
 def network_status(targets: DataFrame, edges: DataFrame) -> DataFrame:
-    n = targets.groupBy("asin").agg(F.count("reviewer").alias("identifiable"))
+    n = targets.groupBy("asin").agg(F.count_if(F.col("reviewer") != "").alias("identifiable"))
     f = network_findings(targets, edges).groupBy("asin").agg(F.count("*").alias("linked"))
     share = F.coalesce("linked", F.lit(0)) / F.col("identifiable")
     return n.join(f, "asin", "left").select("asin", "identifiable", F.coalesce("linked", F.lit(0)).alias("linked"), F.when(F.col("identifiable") < 4, "insufficient-data").when(share >= 0.35, "fail").when(share > 0, "warn").otherwise("pass").alias("status"))
@@ -182,7 +221,148 @@ def check_salt(known: str | None, current: str, reviews: DataFrame) -> tuple[str
     return current, {"changed": True, "orphaned_reviewers": reviews.where("reviewer_hash is not null").count()}
 
 
+def salt_fingerprint(salt: str) -> str:
+    """What may be stored of a salt: the keyed hash of a fixed text."""
+    return hmac.new(salt.encode(), b"salt-continuity-probe", hashlib.sha256).hexdigest()[:32]
+
+
+def review_findings(reviews: DataFrame, sightings: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row a review: ``d_`` and ``r_`` of template reuse, machine likelihood and reviewer network, null where not found, and the listing's identifiable reviews."""
+    likelihood = machine_likelihood(F.col("text"))
+    own = reviews.select("asin", "seq", "review_id", F.nullif("reviewer_id", F.lit("")).alias("reviewer"), likelihood.alias("likelihood"))
+    found = F.col("likelihood") >= 0.45
+    own = own.select("asin", "seq", "review_id", "reviewer", F.when(found, tx.clamp(0.35 * F.col("likelihood"))).alias("d_machine"), F.when(found, FINDINGS["machine"]).alias("r_machine"))
+    t = template_findings(reviews, sightings).select("asin", "review_id", F.col("delta").alias("d_template"), F.col("reason").alias("r_template"))
+    n = network_findings(own.select("asin", "review_id", "reviewer"), edges).select("asin", "review_id", F.col("delta").alias("d_network"), F.col("reason").alias("r_network"))
+    known = own.groupBy("asin").agg(F.count("reviewer").alias("identifiable"))
+    return own.drop("reviewer").join(t, ["asin", "review_id"], "left").join(n, ["asin", "review_id"], "left").join(known, "asin")
+
+
+def history_status(observations: DataFrame) -> DataFrame:
+    """(asin, hijack, shifts): the statuses of a listing's past; one observation is too few."""
+    hijack = listing_hijack(observations).select("asin", F.col("status").alias("hijack"))
+    shifts = rating_shifts(observations).select("asin", F.col("status").alias("shifts"))
+    return shifts.join(hijack, "asin", "left")
+
+
+def _number(value: Column) -> Column:
+    return F.format_number(value, 0)
+
+
+def product_findings(findings: DataFrame, observations: DataFrame) -> DataFrame:
+    """(asin, signal, ord, label, status, detail, evidence) of every listing with reviews: text, network and history.
+
+    ``findings`` are those of reviews, ``observations`` the deduplicated history.  A
+    listing seen once has no finding on changes of product.
+    """
+    counts = findings.groupBy("asin").agg(F.count("*").alias("n"), F.count("d_template").alias("templated"), F.count("d_machine").alias("machined"), F.count("d_network").alias("linked"), F.max("identifiable").alias("identifiable"))
+    none = F.array().cast("array<string>")
+    side = lambda name, k, of: F.struct(F.lit(of).alias("signal"), F.array(F.col("seq").cast("long"), F.lit(k).cast("long")).alias("place"), F.when(F.col(f"d_{name}").isNotNull(), F.col(f"r_{name}")).alias("reason"))
+    hits = findings.select("asin", F.explode(F.array(side("template", 0, "ai-text"), side("machine", 1, "ai-text"), side("network", 0, "reviewer-network"))).alias("x")).select("asin", "x.*").where("reason is not null")
+    status = scoring.deep_status(counts)
+    flagged = F.col("templated") + F.col("machined")
+    said = {
+        "ai-text": F.when(flagged == 0, FINDINGS["text_pass"]).otherwise(F.format_string(FINDINGS["text_found"], "templated", "machined")),
+        "reviewer-network": F.when(F.col("identifiable") < 4, FINDINGS["network_few"]).when(F.col("linked") == 0, F.format_string(FINDINGS["network_pass"], "identifiable")).otherwise(F.format_string(FINDINGS["network_found"], "linked", "identifiable")),
+    }
+    rows = counts.select("asin", F.explode(F.array(*[F.struct(F.lit(name).alias("signal"), F.lit(i).alias("ord"), status[name].alias("status"), said[name].alias("detail")) for i, name in enumerate(said)])).alias("x")).select("asin", "x.*")
+    now = rows.join(scoring.first_reasons(hits, ["asin", "signal"], 4), ["asin", "signal"], "left").withColumn("evidence", F.coalesce("evidence", none))
+    out = now.unionByName(history_findings(observations))
+    return out.select("asin", "signal", "ord", F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])[F.col("signal")].alias("label"), "status", "detail", "evidence")
+
+
+def history_findings(observations: DataFrame) -> DataFrame:
+    """(asin, signal, ord, status, detail, evidence) of changes of product and of moves of the rating."""
+    w = Window.partitionBy("asin").orderBy("observed_at", "obs_id")
+    day = F.date_format("observed_at", "yyyy-MM-dd")
+    titled = observations.where("title_hash is not null and title_hash <> ''").select("asin", "obs_id", "observed_at", "title_hash", F.coalesce("total_ratings", F.lit(0)).alias("n"), F.lag("title_hash").over(w).alias("t0"), F.lag(F.coalesce("total_ratings", F.lit(0))).over(w).alias("n0"))
+    kept = (F.col("n0") > 100) & (F.col("n") >= 0.8 * F.col("n0"))
+    place = F.struct("observed_at", "obs_id").alias("place")
+    changed = titled.where("t0 is not null and t0 <> title_hash").select("asin", F.lit("review-hijack").alias("signal"), place, F.when(kept, F.format_string(FINDINGS["hijack_carried"], day, _number(F.col("n")))).otherwise(F.format_string(FINDINGS["hijack_changed"], day)).alias("reason"))
+    before = lambda c: F.lag(c).over(w)
+    moved = observations.select("asin", "obs_id", "observed_at", "displayed_rating", (F.col("displayed_rating") - before("displayed_rating")).alias("move"), F.coalesce("total_ratings", F.lit(0)).alias("n"), before(F.coalesce("total_ratings", F.lit(0))).alias("base"))
+    added, by = F.col("n") - F.col("base"), F.concat(F.when(F.col("move") > 0, "+").otherwise(""), F.format_string("%.1f", "move"))
+    to = F.format_string("%.1f", "displayed_rating")
+    few = (F.col("base") > 200) & (added < F.col("base") * 0.15)
+    shifted = moved.where(F.abs("move") >= 0.4).select("asin", F.lit("rating-history").alias("signal"), place, F.when(few, F.format_string(FINDINGS["shift_few"], by, to, day, _number(added), _number(F.col("base")))).otherwise(F.format_string(FINDINGS["shift_many"], by, to, day, _number(added))).alias("reason"))
+    said = changed.unionByName(shifted)
+    evidence = said.groupBy("asin", "signal").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "reason"))), lambda x: x["reason"]).alias("evidence"))  # at most one a kept observation of the history
+    seen = observations.groupBy("asin").agg(F.count("*").alias("rows"))
+    base = seen.join(history_status(observations), "asin", "left")
+    hijack = F.when(F.col("hijack") == "pass", FINDINGS["hijack_pass"]).when(F.col("hijack") == "fail", FINDINGS["hijack_fail"]).otherwise(FINDINGS["hijack_warn"])
+    shifts = F.when(F.col("rows") < 2, FINDINGS["history_few"]).when(F.col("shifts") == "pass", F.format_string(FINDINGS["shift_pass"], "rows")).otherwise(FINDINGS["shift_found"])
+    rows = base.select("asin", F.explode(F.array(F.struct(F.lit("review-hijack").alias("signal"), F.lit(2).alias("ord"), F.col("hijack").alias("status"), hijack.alias("detail")), F.struct(F.lit("rating-history").alias("signal"), F.lit(3).alias("ord"), F.col("shifts").alias("status"), shifts.alias("detail")))).alias("x")).select("asin", "x.*").where("status is not null")
+    return rows.join(evidence, ["asin", "signal"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+
+
+def record_observations(observations: DataFrame, batch: DataFrame) -> DataFrame:
+    """The history with a batch's observations put in and repeats pruned; ``histogram`` is kept as JSON."""
+    return dedupe_observations(observations.unionByName(batch, allowMissingColumns=True))
+
+
+def histogram_json(bars: Column) -> Column:
+    """The stored form of a map of shares by star; null stays null."""
+    return F.to_json(bars)
+
+
+def write_cache(cache: DataFrame, answers: DataFrame) -> DataFrame:
+    """The cache with new answers (asin, payload, computed_at) in place of old ones."""
+    return cache.join(answers.select("asin").distinct(), "asin", "left_anti").unionByName(answers)
+
+
+def invalidate_cache(cache: DataFrame, changed: DataFrame) -> DataFrame:
+    """The cache without listings that changed materially."""
+    return cache.join(changed.select("asin").distinct(), "asin", "left_anti")
+
+
+def materially_changed(requests: DataFrame, observations: DataFrame) -> DataFrame:
+    """The listings (asin) of requests (asin, title_hash, total_ratings) that differ materially from their last observation."""
+    last = observations.groupBy("asin").agg(F.max_by(F.struct("title_hash", "total_ratings"), F.struct("observed_at", "obs_id")).alias("last"))
+    title = F.coalesce(F.col("title_hash") != F.col("last.title_hash"), F.lit(False))
+    total = F.coalesce(F.abs(F.col("total_ratings") - F.col("last.total_ratings")) > F.greatest(F.lit(50.0), 0.1 * F.col("last.total_ratings")), F.lit(False))
+    return requests.join(last, "asin").where(title | total).select("asin").distinct()
+
+
+def responses(findings: DataFrame, products: DataFrame, observations: DataFrame, computed_at: Column) -> DataFrame:
+    """(asin, payload, computed_at): the answer to each listing's request as JSON, from the findings of its reviews and of itself."""
+    parts = [("template", "cross-product-template"), ("machine", "ai-text"), ("network", "reviewer-network")]
+    each = findings.select("asin", F.explode(F.array(*[F.struct(F.lit(int(name == "network")).alias("k"), F.col("seq"), F.lit(i).alias("i"), F.col("review_id").alias("reviewId"), F.col(f"d_{name}").alias("delta"), F.col(f"r_{name}").alias("reason"), F.lit(source).alias("source")) for i, (name, source) in enumerate(parts)])).alias("x")).where("x.delta is not null")
+    reviews = each.groupBy("asin").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: F.struct(x["reviewId"].alias("reviewId"), x["delta"].alias("delta"), x["reason"].alias("reason"), x["source"].alias("source"))).alias("reviewFindings"))
+    own = products.groupBy("asin").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", F.col("signal").alias("id"), "label", "status", "detail", "evidence"))), lambda x: F.struct(x["id"].alias("id"), x["label"].alias("label"), x["status"].alias("status"), x["detail"].alias("detail"), x["evidence"].alias("evidence"))).alias("productFindings"))
+    seen = observations.groupBy("asin").agg(F.count("*").alias("corpusObservations"))
+    all_ = own.join(reviews, "asin", "left").join(seen, "asin", "left")
+    body = F.struct(F.lit(1).alias("contractVersion"), "asin", F.coalesce("reviewFindings", F.expr("cast(array() as array<struct<reviewId:string,delta:double,reason:string,source:string>>)")).alias("reviewFindings"), "productFindings", F.coalesce("corpusObservations", F.lit(0)).alias("corpusObservations"), F.lit(False).alias("cached"), computed_at.alias("computedAt"))
+    return all_.select("asin", F.to_json(body).alias("payload"), computed_at.alias("computed_at"))
+
+
+def deep_analysis(reviews: DataFrame, requests: DataFrame, corpus: dict[str, DataFrame], computed_at: Column) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Answers (asin, payload, cached) to a batch of requests, and the corpus afterwards.
+
+    ``requests`` has (asin, title_hash, total_ratings, displayed_rating, obs_id,
+    observed_at); ``corpus`` the tables ``sightings``, ``edges``, ``observations`` and
+    ``cache``.  A material change drops a cached answer; a cached listing is only
+    observed; the others are analysed, contribute, and are cached.
+    """
+    changed = materially_changed(requests, corpus["observations"])
+    cache = invalidate_cache(corpus["cache"], changed)
+    held = read_cache(cache, computed_at).join(requests.select("asin").distinct(), "asin", "left_semi")
+    due = reviews.join(requests.select("asin").distinct(), "asin", "left_semi").join(held.select("asin"), "asin", "left_anti")
+    findings = review_findings(due, corpus["sightings"], corpus["edges"])
+    observations = record_observations(corpus["observations"], requests)
+    asked = requests.select("asin").distinct().join(held.select("asin"), "asin", "left_anti")
+    products = product_findings(findings, history(observations).join(asked, "asin", "left_semi"))
+    fresh = responses(findings, products, observations, computed_at)
+    answers = held.select("asin", "payload", F.lit(True).alias("cached")).unionByName(fresh.select("asin", "payload", F.lit(False).alias("cached")))
+    after = {
+        "sightings": corpus["sightings"].unionByName(shingle_sightings(due, F.to_date(computed_at))).distinct(),
+        "edges": corpus["edges"].unionByName(due.where("reviewer_id <> ''").select(F.col("reviewer_id").alias("reviewer"), "asin")).distinct(),
+        "observations": observations,
+        "cache": write_cache(cache, fresh),
+    }
+    return answers, after
+
+
 def augmentation(findings: DataFrame) -> DataFrame:
-    """Findings (asin, signal, ord, status) as deep signals with score, weight and confidence."""
-    s = F.col("status")
-    return findings.select("asin", F.concat(F.lit("deep:"), "signal").alias("signal"), "ord", "status", F.when(s == "fail", 0.15).when(s == "warn", 0.55).otherwise(1.0).alias("score"), F.lit(1.2).alias("weight"), F.when(s == "insufficient-data", 0.0).otherwise(1.0).alias("confidence"))
+    """Findings (asin, signal, ord, label, status, detail, evidence) as deep signals with score, weight and confidence."""
+    weight, score = scoring.deep_weighed(F.col("status"))
+    return findings.select("asin", F.concat(F.lit("deep:"), "signal").alias("signal"), "ord", "label", "status", score.alias("score"), F.lit(scoring.DEEP_WEIGHT).alias("weight"), F.when(F.col("status") == "insufficient-data", 0.0).otherwise(1.0).alias("confidence"), "detail", "evidence")

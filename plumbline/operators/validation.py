@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import text as tx
+
 FIELDS = ["contractVersion", "asin", "displayedRating", "totalRatings", "histogram", "titleHash", "reviews"]
 REVIEW_FIELDS = ["id", "rating", "date", "verified", "text", "helpfulVotes", "reviewerId"]
 MAX_REVIEWS, MAX_TEXT, MAX_BODY, MAX_ID, MAX_VOTES = 60, 6000, 512 * 1024, 128, 1_000_000
@@ -47,11 +49,10 @@ def _review_fault(r: Column) -> Column:
     return F.coalesce(*[F.when(bad, F.lit(why)) for bad, why in rules])
 
 
-def fault(body: Column) -> Column:
-    """The first failing rule of a request."""
-    v = F.try_parse_json(body)
+def _fault(body: Column, v: Column, reviews: Column) -> Column:
+    """The first failing rule of a request, given its text, that parsed, and its reviews."""
     known = F.array(*map(F.lit, FIELDS))
-    rating, total, reviews = _of(v, "displayedRating", "double"), _of(v, "totalRatings", "double"), _of(v, "reviews", "array<variant>")
+    rating, total = _of(v, "displayedRating", "double"), _of(v, "totalRatings", "double")
     bars = _of(v, "histogram", "map<string,double>")
     bar_types = _of(v, "histogram", "map<string,variant>")
     good_bars = F.forall(F.map_entries(bars), lambda e: e["key"].isin(*"12345") & e["value"].between(0, 100)) & F.forall(F.map_values(bar_types), lambda x: _number(F.schema_of_variant(x)))
@@ -75,7 +76,9 @@ def fault(body: Column) -> Column:
 
 
 def validate(requests: DataFrame, body: str = "body") -> DataFrame:
-    return requests.withColumn("reject_reason", fault(F.col(body)))
+    """The requests with ``reject_reason``; a text is parsed once, as a column that the rules share."""
+    parsed = requests.withColumn("_parsed", F.try_parse_json(F.col(body))).withColumn("_reviews", _of(F.col("_parsed"), "reviews", "array<variant>"))
+    return parsed.withColumn("reject_reason", _fault(F.col(body), F.col("_parsed"), F.col("_reviews"))).drop("_parsed", "_reviews")
 
 
 def accepted_reviews(validated: DataFrame, body: str = "body", keep: list[str] | None = None) -> DataFrame:
@@ -98,6 +101,12 @@ def accepted_reviews(validated: DataFrame, body: str = "body", keep: list[str] |
 
 
 def build_request(snapshot: DataFrame) -> DataFrame:
-    """(asin, body): the wire form of a snapshot with a ``reviews`` array; names and titles of reviews never leave."""
+    """(asin, body): the wire form of a snapshot with ``title``, ``h1`` to ``h5`` and a ``reviews`` array.
+
+    The title leaves as its hash, absent fields stay absent, and names and titles of
+    reviews never leave.
+    """
     review = lambda r: F.struct(r["review_id"].alias("id"), r["rating"].alias("rating"), r["review_date"].cast("string").alias("date"), r["verified"].alias("verified"), r["text"].alias("text"), r["helpful_votes"].alias("helpfulVotes"), r["reviewer_id"].alias("reviewerId"))
-    return snapshot.select("asin", F.to_json(F.struct(F.lit(1).alias("contractVersion"), "asin", F.col("displayed_rating").alias("displayedRating"), F.col("total_ratings").alias("totalRatings"), F.col("title_hash").alias("titleHash"), F.transform("reviews", review).alias("reviews"))).alias("body"))
+    bars = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(str(k)).alias("k"), F.col(f"h{k}").alias("v")) for k in range(1, 6)]), lambda x: x["v"].isNotNull()))
+    hashed = F.when(F.col("title") != "", tx.title_hash(F.col("title")))
+    return snapshot.select("asin", F.to_json(F.struct(F.lit(1).alias("contractVersion"), "asin", F.col("displayed_rating").alias("displayedRating"), F.col("total_ratings").alias("totalRatings"), F.when(F.size(bars) > 0, bars).alias("histogram"), hashed.alias("titleHash"), F.transform("reviews", review).alias("reviews"))).alias("body"))

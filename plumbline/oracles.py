@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from plumbline.functions.text import INCENTIVE_PHRASES, TEMPLATE_PHRASES
+from plumbline.operators.corpus import FINDINGS
+from plumbline.operators.corpus import LABELS as FINDING_LABELS
+from plumbline.operators.scoring import LABELS, SENTENCES
+from plumbline.operators.signals import DISTRIBUTION, REASONS, REGISTRY
 from plumbline.sources.adapters import with_views
 
 TOK = "regexp_extract_all(lower({}), '[a-z0-9'']+')"
@@ -31,9 +35,9 @@ def hits(phrases: list[str]) -> str:
     return "(" + " + ".join(f"contains({FLAT}, '{p}')::bigint" for p in phrases) + ")"
 
 
-def variation(lengths: str) -> str:
-    mean = "(list_sum(n) / len(n))"
-    return f"case when len({lengths}) < 3 or list_sum({lengths}) = 0 then 1.0 else (select sqrt(avg((u - m) * (u - m))) / any_value(m) from (select unnest({lengths}) u, list_sum({lengths}) / len({lengths}) m)) end".replace("{mean}", mean)
+def text(sentence: str) -> str:
+    """A sentence as an SQL literal."""
+    return "'" + sentence.replace("'", "''") + "'"
 
 
 LENGTHS = f"list_transform({SENT.format('text')}, lambda s: len({TOK.format('s')}))"
@@ -50,15 +54,15 @@ PHRASING = "case when length(trim(text)) = 0 then 0.0 else case when incentives
 DEPTH = "case when rating in (1, 5) and words < 15 and specifics = 0 then 0.22 * (15 - words) / 15 end"
 GRAMS = """grams as (select asin, seq, review_id, len(regexp_extract_all(lower(text), '[a-z0-9'']+')) as words, case when length(f) >= 3 then list_distinct(list_transform(range(1, length(f) - 1), lambda i: substring(f, i, 3))) else []::varchar[] end as g
   from (select asin, seq, review_id, text, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as f from v_reviews))"""
-PAIRS = """pairs as (select a.asin, a.review_id as a, b.review_id as b, a.words as aw, b.words as bw, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) as sim from grams a join grams b on a.asin = b.asin and a.seq < b.seq where len(a.g) > 0 and len(b.g) > 0)"""
-DUPES = """dupes as (select r as review_id, count(*) as matches, max(sim) as peak from (select a as r, sim from pairs where aw >= 12 and bw >= 12 and sim >= 0.55 union all select b, sim from pairs where aw >= 12 and bw >= 12 and sim >= 0.55) group by r)"""
+PAIRS = """pairs as (select a.asin, a.review_id as a, b.review_id as b, a.seq * 10000 + b.seq * 10 as place, a.words as aw, b.words as bw, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) as sim from grams a join grams b on a.asin = b.asin and a.seq < b.seq where len(a.g) > 0 and len(b.g) > 0)"""
+DUPES = """dupes as (select r as review_id, count(*) as matches, max(sim) as peak, min(place) as place from (select a as r, sim, place from pairs where aw >= 12 and bw >= 12 and sim >= 0.55 union all select b, sim, place + 1 from pairs where aw >= 12 and bw >= 12 and sim >= 0.55) group by r)"""
 DUPE_DELTA = "least(1.0, 0.35 * peak + 0.15 * least(matches, 3))"
-BURSTS = """dated as (select asin, seq, review_id, review_date as t, count(*) over (partition by asin) as n, max(review_date) over (partition by asin) - min(review_date) over (partition by asin) as span from v_reviews where review_date is not null),
+BURSTS = f"""dated as (select asin, seq, review_id, review_date as t, count(*) over (partition by asin) as n, max(review_date) over (partition by asin) - min(review_date) over (partition by asin) as span from v_reviews where review_date is not null),
   ahead as (select a.asin, a.t, min(a.seq) as seq, a.n, a.span, count(distinct b.review_id) as inside from dated a join dated b on a.asin = b.asin and b.t between a.t and a.t + 3 where a.n >= 5 and a.span >= 30 group by a.asin, a.t, a.n, a.span),
   best as (select * from (select *, row_number() over (partition by asin order by inside desc, t, seq) as k from ahead) where k = 1),
-  bursts as (select d.review_id, inside / best.n as share, least(1.0, 0.4 * greatest(0.0, (inside / best.n - greatest(0.01, least(1.0, 3 / best.span))) / (1 - greatest(0.01, least(1.0, 3 / best.span))))) as delta
+  bursts as (select d.review_id, (d.t - date '2000-01-01') * 1000 + d.seq as place, printf({text(REASONS["burst"])}, inside, best.t::varchar, best.span) as reason, inside / best.n as share, least(1.0, 0.4 * greatest(0.0, (inside / best.n - greatest(0.01, least(1.0, 3 / best.span))) / (1 - greatest(0.01, least(1.0, 3 / best.span))))) as delta
     from best join dated d on d.asin = best.asin and d.t between best.t and best.t + 3 where inside / best.n >= 0.5 and inside >= 3)"""
-DIST = """dist as (select asin, h1, tot is not null and tot > 0 as known, case when total_ratings > 0 then greatest(0.0, least(1.0, log10(total_ratings + 1) / 3)) else 0.3 end as conf,
+DIST = """dist as (select asin, h1, s1, s5, mid, coalesce(h1, h2, h3, h4, h5) is null as missing, tot is not null and tot > 0 as known, case when total_ratings > 0 then greatest(0.0, least(1.0, log10(total_ratings + 1) / 3)) else 0.3 end as conf,
   greatest(0.0, least(1.0, case when s5 > 0.8 and s1 < 0.02 then 0.55 * ((0.02 - s1) / 0.02) * least(1.0, (s5 - 0.8) / 0.15) else 0 end + case when s5 > 0.75 and mid < 0.08 then 0.35 * ((0.08 - mid) / 0.08) else 0 end + case when s5 > 0.5 and s1 > 0.2 and mid < 0.15 then 0.25 else 0 end)) as x
   from (select *, coalesce(h1, 0) / nullif(tot, 0) as s1, coalesce(h5, 0) / nullif(tot, 0) as s5, coalesce(h2, 0) / nullif(tot, 0) + coalesce(h3, 0) / nullif(tot, 0) + coalesce(h4, 0) / nullif(tot, 0) as mid from (select *, coalesce(h1, 0) + coalesce(h2, 0) + coalesce(h3, 0) + coalesce(h4, 0) + coalesce(h5, 0) as tot from {})))"""
 DIST_STATUS = "case when not known then 'insufficient-data' when x >= 0.5 then 'fail' when x >= 0.2 then 'warn' else 'pass' end"
@@ -72,6 +76,18 @@ ASSESSED = f"""{MEASURED}, {GRAMS}, {PAIRS}, {DUPES}, {BURSTS},
     case when l.total_ratings >= 200 and rating = 5 and helpful_votes = 0 and date '2026-01-01' - review_date >= 90 then 0.12 end as helpfulness
     from measured m join broken using (asin) left join v_listings l on l.asin = m.asin left join dupes on dupes.review_id = m.review_id left join bursts on bursts.review_id = m.review_id),
   assessed as (select *, least(1.0, coalesce(verified, 0) + coalesce(phrasing, 0) + coalesce(duplication, 0) + coalesce(burst, 0) + coalesce(depth, 0) + coalesce(helpfulness, 0)) as suspicion from deltas)"""
+PCT_OF = "concat(floor({} * 100 + 0.5)::bigint, '%')"
+FIVE, ONE, MIDDLE = PCT_OF.format("s5"), PCT_OF.format("s1"), PCT_OF.format("mid")
+DIST_EVIDENCE = f"list_filter([case when s5 > 0.8 and s1 < 0.02 then printf({text(DISTRIBUTION['tail'])}, {FIVE}, {ONE}) end, case when s5 > 0.75 and mid < 0.08 then printf({text(DISTRIBUTION['hollow'])}, {MIDDLE}) end, case when s5 > 0.5 and s1 > 0.2 and mid < 0.15 then printf({text(DISTRIBUTION['polar'])}, {FIVE}, {ONE}) end], lambda x: x is not null)"
+DIST_DETAIL = f"case when missing then {text(DISTRIBUTION['missing'])} when not known then {text(DISTRIBUTION['empty'])} when len({DIST_EVIDENCE}) > 0 then ({DIST_EVIDENCE})[1] else printf({text(DISTRIBUTION['clear'])}, {FIVE}, {ONE}) end"
+SAID = f"""said as (select m.asin, m.review_id, m.seq, bad, n,
+    case when not verified then case when rating = 5 then {text(REASONS['verified_5'])} else {text(REASONS['verified'])} end end as verified, m.seq as p_verified,
+    case when not bad and length(trim(text)) > 0 then nullif(concat_ws('; ', case when incentives > 0 then {text(REASONS['incentive'])} end, case when templates >= 2 then {text(REASONS['template'])} end, case when words >= 40 and variation < 0.35 and diversity < 0.55 and specifics = 0 then {text(REASONS['machine'])} end), '') end as phrasing, m.seq as p_phrasing,
+    case when not bad and peak is not null then case when matches = 1 then {text(REASONS['duplicate_1'])} else printf({text(REASONS['duplicate_n'])}, matches) end end as duplication, dupes.place as p_duplication,
+    bursts.reason as burst, bursts.place as p_burst,
+    case when not bad and ({DEPTH}) is not null then case when words = 0 then printf({text(REASONS['empty'])}, rating) else printf({text(REASONS['thin'])}, rating, words, case when words = 1 then 'word' else 'words' end) end end as depth, m.seq as p_depth,
+    case when l.total_ratings >= 200 and rating = 5 and helpful_votes = 0 and date '2026-01-01' - review_date >= 90 then printf({text(REASONS['unvoted'])}, date '2026-01-01' - review_date) end as helpfulness, m.seq as p_helpfulness
+    from measured m join broken using (asin) left join v_listings l on l.asin = m.asin left join dupes on dupes.review_id = m.review_id left join bursts on bursts.review_id = m.review_id)"""
 NAMES = ["verified", "phrasing", "duplication", "burst", "depth", "helpfulness"]
 
 
@@ -97,6 +113,19 @@ TEMPLATED = """totals as (select asin, review_id, count(*) as total from grams6
   templated as (select asin, review_id, reused, total, peak, least(1.0, 0.3 + 0.4 * reused / total) as delta from reusing join totals using (asin, review_id) where reused / total >= 0.25)"""
 MACHINE = """machine as (select asin, review_id, case when words < 40 then 0.0 when (u > 0.3)::int + (n > 0.3)::int + (st > 0.5)::int + (g = 1)::int >= 3 then least(1.0, s) else 0.4 * s end as likelihood from (
   select *, 0.35 * u + 0.3 * n + 0.2 * st + 0.15 * g as s from (select asin, review_id, words, greatest(0, (0.45 - burstiness) / 0.45) as u, greatest(0, (0.6 - diversity) / 0.6) as n, case when contractions = 0 then 1.0 else greatest(0, (0.02 - contractions / words) / 0.02) end as st, case when short = 0 then 1 else 0 end as g from measured)))"""
+#: What the corpus finds of reviews: template reuse, machine likelihood, reviewer network.
+R_FINDINGS = """r_edges as (select distinct reviewer_id as reviewer, asin from v_reviews where reviewer_id <> ''),
+  r_shared as (select a.reviewer as r1, b.reviewer as r2, count(*) as c from r_edges a join r_edges b on a.asin = b.asin and a.reviewer < b.reviewer group by all having count(*) >= 3),
+  r_links as (select a.asin, r1, r2, c - 1 as shared from r_edges a join r_edges b on a.asin = b.asin and a.reviewer < b.reviewer join r_shared on r1 = a.reviewer and r2 = b.reviewer),
+  r_net as (select asin, r as reviewer_id, count(*) as links, max(shared) as npeak from (select asin, r1 as r, shared from r_links union all select asin, r2, shared from r_links) group by all),
+  r_ids as (select asin, count(*) as n, count(*) filter (where reviewer_id <> '') as identifiable from v_reviews group by asin),
+  f as (select v.asin, v.review_id, v.seq, n, identifiable, t.delta as d_template, t.peak, case when likelihood >= 0.45 then least(1.0, 0.35 * likelihood) end as d_machine, case when identifiable >= 4 and links is not null then least(1.0, 0.2 + 0.12 * links + 0.05 * npeak) end as d_network, links, npeak
+    from v_reviews v join r_ids using (asin) left join templated t on t.asin = v.asin and t.review_id = v.review_id left join machine m on m.asin = v.asin and m.review_id = v.review_id left join r_net on r_net.asin = v.asin and r_net.reviewer_id = v.reviewer_id)"""
+R_REASON = {
+    "template": f"case when d_template is not null then printf({text(FINDINGS['template'])}, peak) end",
+    "machine": f"case when d_machine is not null then {text(FINDINGS['machine'])} end",
+    "network": f"case when d_network is not null then printf({text(FINDINGS['network'])}, links, case when links = 1 then 'reviewer' else 'reviewers' end, npeak) end",
+}
 FOUND = """found as (select asin, count(*) as n, coalesce(any_value(k), 0) as k from v_reviews left join (select asin, count(*) as k from (select asin from templated union all select asin from machine where likelihood >= 0.45) group by asin) using (asin) group by asin)"""
 FOUND_STATUS = "case when k = 0 then 'pass' when k >= greatest(2, 0.3 * n) then 'fail' else 'warn' end"
 LINKS = """shared as (select a.reviewer as r1, b.reviewer as r2, count(*) as c from v_edges a join v_edges b on a.asin = b.asin and a.reviewer < b.reviewer group by all having count(*) >= 3),
@@ -105,20 +134,66 @@ NETWORK = f"""{LINKS}, ids as (select asin, count(*) as identifiable from v_edge
   net as (select asin, r, count(*) as links, max(shared) as peak from (select asin, r1 as r, shared from links union all select asin, r2, shared from links) group by all)"""
 PRUNED = """pruned as (select * from (select *, row_number() over w as k, lag(displayed_rating) over w as r0, lag(total_ratings) over w as n0, lag(title_hash) over w as t0 from v_observations window w as (partition by asin order by obs_id)) where k = 1 or displayed_rating is distinct from r0 or total_ratings is distinct from n0 or title_hash is distinct from t0)"""
 HISTORY = f"""{PRUNED}, hist as (select * exclude (k, r0, n0, t0) from (select *, row_number() over (partition by asin order by observed_at, obs_id) as pos from pruned) where pos <= 200)"""
+#: The past of listings, from the days on which their reviews were seen.
+PAST = HISTORY.replace("v_observations", "v_history")
+HIJACKS = """titled as (select asin, obs_id, observed_at, title_hash as t, coalesce(total_ratings, 0) as n, lag(title_hash) over w as t0, lag(coalesce(total_ratings, 0)) over w as n0 from hist where title_hash <> '' window w as (partition by asin order by observed_at, obs_id)),
+  ch as (select asin, count(*) as c, bool_or(n0 > 100 and n >= 0.8 * n0) as carried from titled where t0 <> t group by asin),
+  hj as (select asin, coalesce(c, 0) as changes, coalesce(carried, false) as carried, case when c is null then 'pass' when carried then 'fail' else 'warn' end as status from (select asin from hist group by asin having count(*) >= 2) left join ch using (asin))"""
+SHIFTS = """mv as (select asin, obs_id, observed_at, displayed_rating as r, coalesce(total_ratings, 0) as n, displayed_rating - lag(displayed_rating) over w as m, lag(coalesce(total_ratings, 0)) over w as base from hist window w as (partition by asin order by observed_at, obs_id)),
+  rs as (select asin, count(*) as rows_, count(*) filter (where abs(m) >= 0.4) as jumps, case when count(*) < 2 then 'insufficient-data' when count(*) filter (where abs(m) >= 0.4) = 0 then 'pass' when count(*) filter (where abs(m) >= 0.4) = 1 then 'warn' else 'fail' end as status from mv group by asin)"""
+PF = """pf as (select asin, any_value(n) as n, any_value(identifiable) as identifiable, count(d_template) as templated, count(d_machine) as machined, count(d_network) as linked from f group by asin),
+  st as (select pf.*, case when templated + machined = 0 then 'pass' when templated + machined >= greatest(2, 0.3 * n) then 'fail' else 'warn' end as s1, case when identifiable < 4 then 'insufficient-data' when linked >= 0.35 * identifiable then 'fail' when linked > 0 then 'warn' else 'pass' end as s2, coalesce(hj.status, 'insufficient-data') as s3, coalesce(rs.status, 'insufficient-data') as s4, rows_ from pf left join hj using (asin) left join rs using (asin))"""
+DAY = "strftime(observed_at, '%Y-%m-%d')"
+MOVE = "concat(case when m > 0 then '+' else '' end, printf('%.1f', m))"
+P_FINDINGS = f"""lines as (select asin, 'ai-text' as signal, seq * 10 as place, {R_REASON['template']} as reason from f union all select asin, 'ai-text', seq * 10 + 1, {R_REASON['machine']} from f union all select asin, 'reviewer-network', seq * 10, {R_REASON['network']} from f),
+  ev as (select asin, signal, list(reason order by place)[1:4] as e from lines where reason is not null group by all
+    union all select asin, 'review-hijack', list(case when n0 > 100 and n >= 0.8 * n0 then printf({text(FINDINGS['hijack_carried'])}, {DAY}, format('{{:,}}', n)) else printf({text(FINDINGS['hijack_changed'])}, {DAY}) end order by observed_at, obs_id) from titled where t0 <> t group by asin
+    union all select asin, 'rating-history', list(case when base > 200 and n - base < base * 0.15 then printf({text(FINDINGS['shift_few'])}, {MOVE}, printf('%.1f', floor(r * 10 + 0.5) / 10), {DAY}, format('{{:,}}', n - base), format('{{:,}}', base)) else printf({text(FINDINGS['shift_many'])}, {MOVE}, printf('%.1f', floor(r * 10 + 0.5) / 10), {DAY}, format('{{:,}}', n - base)) end order by observed_at, obs_id) from mv where abs(m) >= 0.4 group by asin),
+  pfind as (select asin, 'ai-text' as signal, s1 as status, case when templated + machined = 0 then {text(FINDINGS['text_pass'])} else printf({text(FINDINGS['text_found'])}, templated, machined) end as detail from st
+    union all select asin, 'reviewer-network', s2, case when identifiable < 4 then {text(FINDINGS['network_few'])} when linked = 0 then printf({text(FINDINGS['network_pass'])}, identifiable) else printf({text(FINDINGS['network_found'])}, linked, identifiable) end from st
+    union all select asin, 'review-hijack', status, case status when 'pass' then {text(FINDINGS['hijack_pass'])} when 'fail' then {text(FINDINGS['hijack_fail'])} else {text(FINDINGS['hijack_warn'])} end from hj
+    union all select asin, 'rating-history', status, case when rows_ < 2 then {text(FINDINGS['history_few'])} when status = 'pass' then printf({text(FINDINGS['shift_pass'])}, rows_) else {text(FINDINGS['shift_found'])} end from rs)"""
+FINDING_LABEL = "case signal " + " ".join(f"when '{k}' then {text(v)}" for k, v in FINDING_LABELS.items()) + " end"
 KEY = "left(sha256(concat(rating::varchar, '|', coalesce(review_date::varchar, ''), '|', regexp_replace(lower(left(text, 400)), '\\s+', ' ', 'g'))), 32)"
 REASONS = {0: "malformed JSON", 1: "not an object", 2: "contractVersion", 3: "unknown field", 4: "asin", 5: "displayedRating", 6: "displayedRating", 7: "totalRatings", 8: "titleHash", 9: "histogram", 10: "histogram", 11: "reviews", 12: "review: id", 13: "review: rating", 14: "review: rating", 15: "review: rating", 16: "review: verified", 17: "review: text", 18: "review: helpfulVotes", 19: "review: date", 20: "review: reviewerId", 21: "review: unknown field"}
 OUTCOME = "case event_id % 24 " + " ".join(f"when {k} then '{v}'" for k, v in REASONS.items()) + " else 'accepted' end"
-URL = "upper(coalesce(nullif(regexp_extract(url, '(?i)/dp/([A-Z0-9]{10})', 1), ''), nullif(regexp_extract(url, '(?i)/gp/product/([A-Z0-9]{10})', 1), ''), nullif(regexp_extract(url, '(?i)/product-reviews/([A-Z0-9]{10})', 1), ''), nullif(regexp_extract(url, '(?i)[?&]asin=([A-Z0-9]{10})', 1), '')))"
+URL = "upper(coalesce(nullif(regexp_extract(url, '(?i)/dp/([A-Z0-9]{10})(?:[/?]|$)', 1), ''), nullif(regexp_extract(url, '(?i)/gp/product/([A-Z0-9]{10})(?:[/?]|$)', 1), ''), nullif(regexp_extract(url, '(?i)/product-reviews/([A-Z0-9]{10})(?:[/?]|$)', 1), ''), nullif(regexp_extract(url, '(?i)[?&]asin=([A-Z0-9]{10})\\b', 1), '')))"
+SPACES = "[\\t\\n\\x0B\\f\\r \\x{00A0}\\x{FEFF}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 TONE = "case when insuff then 'unknown' when grade in ('D', 'F') then 'bad' when grade = 'C' then 'mixed' else 'good' end"
-TITLE = "case when insuff then 'Couldn''t read this page' else case grade when 'A' then 'Reviews look genuine' when 'B' then 'Reviews look mostly genuine' when 'C' then 'Some reviews look questionable' when 'D' then 'Many reviews look manipulated' else 'Reviews look heavily manipulated' end end"
+TITLE = f"case when insuff then {text(SENTENCES['title_unknown'])} else case grade " + " ".join(f"when '{g}' then {text(SENTENCES[f'title_{g}'])}" for g in "ABCDF") + " end end"
 NOUN = "case when n_ = 1 then 'review' else 'reviews' end"
-SUB = f"case when insuff then 'The review section must be visible to say anything useful.' when disc_ > 0 then concat(disc_, ' of ', n_, ' visible ', {NOUN}, ' discounted.') when conc = 1 then 'No review was discounted, but 1 check raised a concern.' when conc > 1 then concat('No review was discounted, but ', conc, ' checks raised concerns.') else concat('Nothing flagged across ', n_, ' visible ', {NOUN}, '.') end"
+SUB = f"case when insuff then {text(SENTENCES['sub_unknown'])} when disc_ > 0 then concat(disc_, ' of ', n_, ' visible ', {NOUN}, ' discounted.') when conc = 1 then {text(SENTENCES['sub_one'])} when conc > 1 then concat('No review was discounted, but ', conc, ' checks raised concerns.') else concat('Nothing flagged across ', n_, ' visible ', {NOUN}, '.') end"
+STARS = "concat(printf('%.1f', {}), '★')"
+SHOWN = f"case when displayed_rating is null then 'the star rating' else {STARS.format('displayed_rating')} end"
+GAP = "coalesce(displayed_rating - adj, 0) >= 0.3"
+HEADLINE = f"case when insuff then {text(SENTENCES['headline_unknown'])} when grade in ('D', 'F') then case when {GAP} then concat('Don''t rely on ', {SHOWN}) else concat('Treat ', {SHOWN}, ' with caution') end when grade = 'C' then concat({SHOWN}, ' looks softer than it appears') when conc > 0 or disc_ > 0 then concat({SHOWN}, ' is broadly believable') when {GAP} then concat({SHOWN}, ' is roughly right') else concat({SHOWN}, ' looks earned') end"
+RESTATED = f"case when adj is not null and {GAP} then printf({text(SENTENCES['restated'])}, {STARS.format('adj')}) else '' end"
+ADVICE = f"case when insuff then {text(SENTENCES['advice_unknown'])} when grade in ('D', 'F') then concat({RESTATED}, {text(SENTENCES['advice_bad'])}) when grade = 'C' then concat({RESTATED}, {text(SENTENCES['advice_mixed'])}) when conc > 0 or disc_ > 0 then concat(case when disc_ > 0 then concat(disc_, ' of the ', n_, ' visible reviews were discounted') else concat(conc, case when conc = 1 then ' check' else ' checks' end, ' flagged something') end, {text(SENTENCES['noted'] + SENTENCES['hand_back'])}) else {text(SENTENCES['clear'] + SENTENCES['hand_back'])} end"
+BASIS = f"case when insuff then {text(SENTENCES['basis_unknown'])} else concat('Based on the ', n_, ' ', {NOUN}, ' visible on this page', case when h5 is null then '' when coalesce(total_ratings, 0) > 0 then concat(' and the rating breakdown across all ', format('{{:,}}', total_ratings), ' ratings') else ' and the overall rating breakdown' end, {text(SENTENCES['basis_end'])}, case when bad and h5 is null then {text(f' Note: {SENTENCES["caveat_text"]}, and {SENTENCES["caveat_bars"]}.')} when bad then {text(f' Note: {SENTENCES["caveat_text"]}.')} when h5 is null then {text(f' Note: {SENTENCES["caveat_bars"]}.')} else '' end) end"
+POPUP = f"case when insuff then {text(SENTENCES['popup_unknown'])} when adj is null then {text(SENTENCES['popup_none'])} else printf({text(SENTENCES['popup'])}, {STARS.format('adj')}, trust) end"
+LEVEL = "case level " + " ".join(f"when '{k}' then '{v}'" for k, v in LABELS["confidence"].items()) + " end"
+MEANING = "case grade " + " ".join(f"when '{g}' then {text(f'Grade {g} of A to F. ' + SENTENCES[f'title_{g}'] + '.')}" for g in "ABCDF") + " end"
+STATUS = "case status " + " ".join(f"when '{k}' then '{v}'" for k, v in LABELS["status"].items()) + " end"
 PADS = tuple("".join(f"{b ^ x:02x}" for b in b"pepper".ljust(64, b"\0")) for x in (0x36, 0x5C))
 
 
 def build() -> dict[str, str]:
     full = f"with {ASSESSED}, {scored()}"
-    deep = f"with {ASSESSED}, {SHINGLES}, {TEMPLATED}, {MACHINE}, {FOUND}, more as (select review_id, sum(delta) as delta from (select review_id, delta from templated union all select review_id, 0.35 * likelihood from machine where likelihood >= 0.45) group by review_id), " + scored("coalesce(more.delta, 0)", "left join more on more.review_id = a.review_id", "case when f.asin is null then 0 else 1.2 end", f"case when f.asin is null then 0 else 1.2 * case f.status when 'fail' then 0.15 when 'warn' then 0.55 else 1.0 end end", "coalesce((f.status in ('warn', 'fail'))::int, 0)", f"left join (select asin, {FOUND_STATUS} as status from found) f using (asin)")
+    corpus = f"{SHINGLES}, {TEMPLATED}, {MACHINE}, {R_FINDINGS}"
+    past = f"{PAST}, {HIJACKS}, {SHIFTS}, {PF}"
+    live = ["s1", "s2", "s3", "s4"]
+    deep = f"with {ASSESSED}, {corpus}, {past}, " + scored(
+        "coalesce(f.d_template, 0) + coalesce(f.d_machine, 0) + coalesce(f.d_network, 0)",
+        "left join f on f.review_id = a.review_id and f.asin = a.asin",
+        " + ".join(f"case when st.{x} = 'insufficient-data' then 0 else 1.2 end" for x in live),
+        " + ".join(f"case st.{x} when 'insufficient-data' then 0 when 'fail' then 0.15 * 1.2 when 'warn' then 0.55 * 1.2 else 1.2 end" for x in live),
+        " + ".join(f"(st.{x} in ('warn', 'fail'))::int" for x in live),
+        "left join (select asin, s1, s2, s3, s4 from st) st using (asin)",
+    )
+    found = f"with {MEASURED}, {corpus}, {past}, {P_FINDINGS}"
+    told = " union all ".join(f"select asin, '{r.name}' as signal, {text(r.label)} as label, {text(r.clear)} as clear, {r.of_text and 'bad' or 'false'} as skip, {r.name} as reason, p_{r.name} as place from said" for r in REGISTRY)
+    listed = "v_reviews r join v_listings l using (asin)"
+    fields = ["title", "displayed_rating", "total_ratings", "h1", "h2", "h3", "h4", "h5"]
     stored = f"stored as (select asin, {KEY} as k, doc_id, helpful_votes as v, review_date as d from v_reviews)"
     summary = " union all ".join(f"select asin, '{s}' as signal, count({s}) as flagged, count(*) as n, {'bool_or(bad)' if s in ('phrasing', 'duplication', 'depth') else 'false'} as skip from assessed group by asin" for s in NAMES)
     sql = {
@@ -150,6 +225,10 @@ def build() -> dict[str, str]:
         "grade_cap": f"{full} select asin, grade, g_raw as uncapped, disc_ as discounted_count, conc::bigint as concerning_signals from answer",
         "confidence_level": f"{full} select asin, level as confidence from answer",
         "verdict_tone": f"{full} select {TONE} as tone, abs(coalesce(displayed_rating - adj, 0)) >= 0.1 as shows_old_rating, count(*) as listings from answer group by all",
+        "verdict_texts": f"{full} select asin, {HEADLINE} as headline, {ADVICE} as advice, {BASIS} as basis, {POPUP} as popup, {LEVEL} as confidence_label, {MEANING} as grade_meaning from answer left join broken using (asin)",
+        "review_reasons": f"with {ASSESSED}, {SAID} select asin, review_id, coalesce(array_to_string(list_filter([{', '.join(NAMES)}], lambda x: x is not null), ' | '), '') as reasons from said",
+        "distribution_details": f"with {DIST.format('v_snapshots')} select asin, {DIST_STATUS} as status, {DIST_DETAIL} as detail, coalesce(array_to_string({DIST_EVIDENCE}, ' | '), '') as evidence from dist",
+        "signal_details": f"with {ASSESSED}, {SAID}, {DIST.format('v_listings')}, told as ({told}), g as (select asin, signal, label, clear, bool_or(skip) as skip, count(*) as n, count(reason) as flagged, list(reason order by place) filter (where reason is not null) as e from told group by all), every_ as (select asin, signal, label, case when skip then 'insufficient-data' when flagged = 0 then 'pass' when flagged >= 0.4 * n then 'fail' else 'warn' end as status, case when skip then 0.5 else 1 - flagged / n end as score, 1.0::double as weight, case when skip then 0 else least(1.0, log10(n + 1) / log10(26)) end as confidence, case when skip then {text(SENTENCES['detail_text'])} when flagged = 0 then clear else printf('%d of %d visible reviews flagged.', flagged, n) end as detail, e[1:5] as e from g union all select asin, 'distribution', 'Rating distribution', {DIST_STATUS}, case when known then 1 - x else 0.5 end, 1.4::double, case when known then conf else 0 end, {DIST_DETAIL}, case when known then {DIST_EVIDENCE} end from dist) select asin, signal, label, status, {STATUS} as status_label, {r6('score')} as score, weight, {r6('confidence')} as confidence, detail, coalesce(array_to_string(e, ' | '), '') as evidence from every_",
         "headline": f"{full} select asin, {TITLE} as title, {SUB} as sub from answer",
         "shingle_spread": f"with {SHINGLES} select h as shingle_hash, days, asins from spread",
         "template_findings": f"with {SHINGLES}, {TEMPLATED} select review_id, reused, total, peak, {r6('delta')} as delta from templated",
@@ -171,10 +250,16 @@ def build() -> dict[str, str]:
         "reject_reasons": f"select {OUTCOME} as outcome, count(*) as requests from v_requests group by all",
         "accepted_reviews": "select event_id, concat('U', lpad(user_id::varchar, 9, '0')) as asin, 5::bigint as rating, date '2026-06-03' as review_date, true as verified, 3::bigint as helpful_votes from events where event_id % 24 >= 22",
         "url_asin": f"select page_id, {URL} as asin, regexp_matches(url, '/(dp|gp/product|product-reviews)/') as product from pages",
-        "interstitial_pages": "select coalesce(regexp_matches(html, '(?i)<form[^>]*action=[\"''][^\"'']*(validateCaptcha|/errors/)|click the button below to continue shopping|enter the characters you see below|we just need to make sure you''?re not a robot|type the characters you see in this image'), false) as interstitial, count(*) as pages from pages group by all",
+        "interstitial_pages": "select coalesce(regexp_matches(html, '(?i)<form[^>]*action=[\"''][^\"'']*(validateCaptcha|/errors/)') or regexp_matches(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '(?i)click the button below to continue shopping|enter the characters you see below|we just need to make sure you''?re not a robot|type the characters you see in this image'), false) as interstitial, count(*) as pages from pages group by all",
         "histogram_plausible": "select asin, h1 + h2 + h3 + h4 + h5 between 80 and 120 as plausible from v_snapshots",
-        "deep_augmentation": f"with {MEASURED}, {SHINGLES}, {TEMPLATED}, {MACHINE}, {FOUND} select asin, 'deep:ai-text' as signal, {FOUND_STATUS} as status, case {FOUND_STATUS} when 'fail' then 0.15::double when 'warn' then 0.55::double else 1.0::double end as score, 1.2::double as weight, 1.0::double as confidence from found",
-        "deep_reanalysis": f"{deep} select asin, trust as trust_score, grade, disc_ as discounted_count, conc::bigint as concerning_signals from answer",
+        "review_findings": f"with {MEASURED}, {corpus} select asin, review_id, {r6('d_template')} as template, {r6('d_machine')} as machine, {r6('d_network')} as network, concat_ws(' | ', {', '.join(R_REASON.values())}) as reasons from f where coalesce(d_template, d_machine, d_network) is not null",
+        "product_findings": f"{found} select asin, signal, {FINDING_LABEL} as label, status, detail, coalesce(array_to_string(e, ' | '), '') as evidence from pfind left join ev using (asin, signal)",
+        "deep_augmentation": f"{found} select asin, concat('deep:', signal) as signal, {FINDING_LABEL} as label, status, case status when 'fail' then 0.15::double when 'warn' then 0.55::double else 1.0::double end as score, 1.2::double as weight, case when status = 'insufficient-data' then 0.0::double else 1.0::double end as confidence from pfind",
+        "deep_reanalysis": f"{deep} select asin, trust as trust_score, grade, disc_ as discounted_count, conc::bigint as concerning_signals, {r6('m_')} as mean_suspicion from answer",
+        "deep_answers": "with own as (select *, row_number() over (partition by asin order by observed_at desc, obs_id desc) as k, cast(substr(asin, 4) as bigint) % 6 as o from v_history), answers as (select asin, o = 0 and not (title_hash <> 't0' or abs(250 - total_ratings) > greatest(50, 0.1 * total_ratings)) as cached from own where k = 1 and o % 2 = 0) select asin, cached, case when cached then 0 else 4 end as product_findings from answers",
+        "page_snapshots": f"select doc_id as page_id, asin, concat('Item ', asin) as title, displayed_rating, total_ratings, h1, h2, h3, h4, h5 from {listed}",
+        "page_coverage": " union all ".join(f"select '{c}' as field, {'count(*)' if c == 'title' else f'count({c})'} as filled, count(*) as pages from {listed}" for c in fields),
+        "page_reviews": f"select doc_id as page_id, asin, concat(case when doc_id % 3 = 2 then 'customer_review-R' else 'R' end, doc_id) as review_id, 'Fine' as title, rating, review_date, verified, helpful_votes, reviewer_id, concat('N ', reviewer_id) as reviewer_name, md5(trim(regexp_replace(text, '{SPACES}', ' ', 'g'))) as text_md5 from v_reviews",
         "conversation_reviews": f"select conv_id::varchar as asin, count(*) as n, {r6('avg(case when length(trim(text)) > 0 then 1.0 else 0.0 end)')} as coverage from conversations group by all",
     }
     return {name: with_views(text) for name, text in sql.items()}

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -52,6 +53,12 @@ def rate_limited(requests: DataFrame, limit: int = 60, window_s: int = 60) -> Da
     return requests.groupBy("client").applyInPandasWithState(limiter(limit, window_s), "client string, event_id long, allowed boolean", "start double, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def contribute(stream: DataFrame, read_then_write: Callable[[DataFrame, int], None], checkpoint: str):
-    """Start a query whose micro-batches read the corpus version before them and then write the next."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(read_then_write).start()
+def windowed_counts(events: DataFrame, time: str, key: str, width: str, delay: str) -> DataFrame:
+    """(key, start, n): events by key and window; those later than ``delay`` behind the newest are dropped, and a window's state goes when it is sent."""
+    return events.withWatermark(time, delay).groupBy(key, F.window(time, width).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), "n")
+
+
+def contribute(stream: DataFrame, read_then_write: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False):
+    """Start a query whose micro-batches read the corpus version before them and then write the next; with ``available_now`` it ends with what is there."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(read_then_write)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

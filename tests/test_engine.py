@@ -2,6 +2,8 @@
 
 import datetime as dt
 import glob
+import hashlib
+import json
 import os
 
 import duckdb
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline import catalog
 from plumbline.functions import text as tx
-from plumbline.operators import corpus, scoring, signals
+from plumbline.operators import corpus, scoring, signals, validation
 from plumbline.sources import pages
 
 SF = "/root/testdata/sf0.001"
@@ -100,5 +102,126 @@ def test_pages(spark):
     assert len(r) == 1 and (r[0].review_id, r[0].rating, r[0].verified, r[0].text, r[0].helpful_votes, r[0].reviewer_id) == ("R1", 5, True, "Works for 3 weeks.", 1, "abc")
 
 
-def test_registry():
-    assert list(signals.REVIEW_SIGNALS) == ["verified", "phrasing", "duplication", "burst", "depth", "helpfulness"]
+def snapshot_of(spark, **fields):
+    own = {"asin": "a", "displayed_rating": 4.0, "total_ratings": 500, "h1": 3.0, "h2": 0.0, "h3": 1.0, "h4": 0.0, "h5": 96.0} | fields
+    return spark.createDataFrame([tuple(own.values())], "asin string, displayed_rating double, total_ratings long, h1 double, h2 double, h3 double, h4 double, h5 double")
+
+
+def reviews_of(spark, *rows):
+    """Reviews of one listing from (rating, date, verified, text, votes, reviewer)."""
+    made = [("a", i, f"r{i}", rating, dt.date.fromisoformat(day) if day else None, verified, text, votes, who) for i, (rating, day, verified, text, votes, who) in enumerate(rows)]
+    return spark.createDataFrame(made, "asin string, seq long, review_id string, rating long, review_date date, verified boolean, text string, helpful_votes long, reviewer_id string")
+
+
+LONG = "The lamp arrived in one piece and the cable is long enough to reach the desk from the far wall without trouble"
+#: For each signal reviews of which the first is flagged, and what is said of it.
+LIVE = {
+    "verified": ([(5, None, False, LONG, 1, "u")], "Unverified purchase giving a 5-star rating"),
+    "phrasing": ([(4, None, True, f"{LONG}. I received this product for free in exchange for my honest review.", 1, "u")], "Discloses a free or discounted product in exchange for the review"),
+    "duplication": ([(4, None, True, LONG, 1, "u"), (4, None, True, f"{LONG}!", 1, "v")], "Text closely matches another review on this product"),
+    "burst": ([(4, d, True, LONG[i:], 1, "u") for i, d in enumerate(["2026-06-01", "2026-06-01", "2026-06-02", "2026-06-03", "2026-01-05", "2026-02-11"])], "Posted in a cluster of 4 reviews within 3 days (around 2026-06-01), against a sample spanning 149 days"),
+    "depth": ([(5, None, True, "Nice", 1, "u")], "5-star rating with only 1 word and no specifics"),
+    "helpfulness": ([(5, "2025-09-01", True, LONG, 0, "u")], "Featured on the product page for 122 days without a single helpful vote"),
+}
+
+
+def test_every_signal_can_fire(spark):
+    assert [s.name for s in signals.REGISTRY] == list(LIVE)
+    snap = snapshot_of(spark)
+    for name, (rows, said) in LIVE.items():
+        one = scoring.assess(reviews_of(spark, *rows), snap, "2026-01-01" if name != "burst" else "2026-06-05").orderBy("seq").first()
+        assert one[f"d_{name}"] > 0 and one[f"r_{name}"] == said and said in one["reasons"], name
+    quiet = scoring.assess(reviews_of(spark, (4, None, True, LONG, 1, "u")), snap, "2026-01-01").first()
+    assert quiet["suspicion"] == 0 and quiet["reasons"] == []
+
+
+def test_registry_is_pluggable(spark):
+    loud = signals.ReviewSignal("loud", "Loudness", "Nobody shouts.", columns=lambda as_of: (F.when(F.col("text").contains("!"), F.lit(0.5)), F.lit("Shouts")))
+    reviews, snap = reviews_of(spark, (5, None, False, "Nice!", 1, "u"), (5, None, False, "Nice", 1, "u")), snapshot_of(spark)
+    found = scoring.assess(reviews, snap, "2026-01-01", registry=[loud])
+    assert [(r.suspicion, r.reasons) for r in found.orderBy("seq").collect()] == [(0.5, ["Shouts"]), (0.0, [])]
+    details = {r.signal: (r.detail, r.evidence) for r in scoring.signal_details(found, snap, [loud]).collect()}
+    assert details["loud"] == ("1 of 2 visible reviews flagged.", ["Shouts"]) and set(details) == {"loud", "distribution"}
+
+
+def test_details_without_reviews_or_text(spark):
+    none = reviews_of(spark).limit(0)
+    said = {r.signal: (r.status, r.detail) for r in scoring.signal_details(scoring.assess(none, snapshot_of(spark), "2026-01-01"), snapshot_of(spark)).collect()}
+    assert said["depth"] == ("insufficient-data", "No reviews were readable on this page.") and said["distribution"][0] == "warn"
+    blank = reviews_of(spark, *[(5, None, True, x, 1, "u") for x in ("", " ", None)])
+    found = scoring.assess(blank, snapshot_of(spark), "2026-01-01")
+    said = {r.signal: r.status for r in scoring.signal_details(found, snapshot_of(spark, h1=None, h2=None, h3=None, h4=None, h5=None)).collect()}
+    assert said == {"verified": "pass", "phrasing": "insufficient-data", "duplication": "insufficient-data", "burst": "pass", "depth": "insufficient-data", "helpfulness": "pass", "distribution": "insufficient-data"}
+    a = scoring.analyse(blank, snapshot_of(spark, h1=None, h2=None, h3=None, h4=None, h5=None), "2026-01-01")
+    assert scoring.verdict(a).first().basis == "Based on the 3 reviews visible on this page. This is an estimate, not proof. Note: This tool couldn't read the review text on this page, so the language checks were skipped and this grade rests on less evidence than usual, and the rating breakdown wasn't readable either."
+
+
+def test_rating_that_is_no_number(spark):
+    a = scoring.analyse(reviews_of(spark, (5, None, False, LONG, 1, "u")), snapshot_of(spark, displayed_rating=float("nan")), "2026-01-01").first()
+    assert a.adjusted_rating is None
+
+
+def test_heavy_products_count_alike(spark, monkeypatch):
+    edges = [(f"u{u}", f"p{p}") for u in range(12) for p in range(9) if (u * 7 + p * 5) % 4]
+    df = spark.createDataFrame(edges, "reviewer string, asin string")
+    pairs = lambda: {tuple(r) for r in corpus.reviewer_links(df, df).collect()}
+    want = pairs()
+    own = {u: {p for v, p in edges if v == u} for u, _ in edges}
+    assert want == {(p, a, b, len(own[a] & own[b]) - 1) for a in own for b in own for p in own[a] & own[b] if a < b and len(own[a] & own[b]) >= 3}
+    monkeypatch.setattr(corpus, "HEAVY", 6)
+    assert pairs() == want
+
+
+def test_empty_reviewers_are_nobody(spark):
+    rows = [("a", f"r{i}", w) for i, w in enumerate(["", "", None, "x", "y"])]
+    targets = spark.createDataFrame(rows, "asin string, review_id string, reviewer string")
+    assert corpus.network_status(targets, targets.select("reviewer", "asin")).first().identifiable == 2
+
+
+def test_deep_analysis(spark):
+    now = F.expr("timestamp '2026-07-01 12:00:00'")
+    reviews = spark.createDataFrame([(a, 0, f"{a}-r", 5, None, True, LONG, 1, "u") for a in "abc"], "asin string, seq long, review_id string, rating long, review_date date, verified boolean, text string, helpful_votes long, reviewer_id string")
+    seen = spark.createDataFrame([(i, a, dt.datetime(2026, 6, 1), 4.0, 100, "t") for i, a in enumerate("ab")], "obs_id long, asin string, observed_at timestamp, displayed_rating double, total_ratings long, title_hash string")
+    asked = spark.createDataFrame([(10 + i, a, dt.datetime(2026, 7, 1), 4.0, n, "t") for i, (a, n) in enumerate([("a", 100), ("b", 900), ("c", 5)])], seen.schema)
+    cache = spark.createDataFrame([("a", "{}"), ("b", "{}")], "asin string, payload string").withColumn("computed_at", F.expr("timestamp '2026-07-01 11:00:00'"))
+    known = {"sightings": corpus.shingle_sightings(reviews, F.expr("date '2026-06-01'")), "edges": reviews.select(F.col("reviewer_id").alias("reviewer"), "asin").limit(0), "observations": seen, "cache": cache}
+    answers, after = corpus.deep_analysis(reviews, asked, known, now)
+    got = {r.asin: r for r in answers.collect()}
+    assert {a: r.cached for a, r in got.items()} == {"a": True, "b": False, "c": False}
+    body = json.loads(got["b"].payload)
+    assert [f["id"] for f in body["productFindings"]] == ["ai-text", "reviewer-network", "review-hijack", "rating-history"] and body["corpusObservations"] == 2 and body["reviewFindings"] == []
+    assert [f["status"] for f in json.loads(got["c"].payload)["productFindings"]] == ["pass", "insufficient-data", "insufficient-data"]
+    assert sorted(r.obs_id for r in after["observations"].collect()) == [0, 1, 11, 12]
+    assert sorted(r.asin for r in after["edges"].collect()) == ["b", "c"] and sorted(r.asin for r in after["cache"].collect()) == ["a", "b", "c"]
+
+
+def test_wire_form(spark):
+    snap = snapshot_of(spark, h2=None).withColumn("title", F.lit(" A Lamp ")).withColumn("reviews", F.expr("array(named_struct('review_id', 'r', 'rating', 5, 'review_date', date '2026-06-03', 'verified', true, 'text', 'x', 'helpful_votes', 1, 'reviewer_id', 'u', 'title', 'never'))"))
+    body = json.loads(validation.build_request(snap).first().body)
+    assert body == {"contractVersion": 1, "asin": "a", "displayedRating": 4.0, "totalRatings": 500, "histogram": {"1": 3.0, "3": 1.0, "4": 0.0, "5": 96.0}, "titleHash": hashlib.sha256(b"a lamp").hexdigest()[:32], "reviews": [{"id": "r", "rating": 5, "date": "2026-06-03", "verified": True, "text": "x", "helpfulVotes": 1, "reviewerId": "u"}]}
+
+
+def test_oversized_bodies(spark):
+    df = spark.createDataFrame([("x" * (512 * 1024 + 1),), ("{}",)], "body string")
+    assert [r.reject_reason for r in validation.validate(df).collect()] == ["body too large", "contractVersion"]
+
+
+def test_page_strategies():
+    page = lambda inner: pages.read_page(f"<html><body>{inner}</body></html>")
+    label = lambda k, n: f'<a aria-label="{k} stars represent {n}% of rating"></a>'
+    found = page("".join(label(k, n) for k, n in ((5, 10), (5, 60), (4, 20), (3, 10), (1, 10))))
+    assert [found[f"h{k}"] for k in (5, 4, 3, 2, 1)] == [60, 20, 10, None, 10]  # the last label of a star wins
+    assert page("<p>5 stars 60%</p>" + label(4, 5))["h4"] is None  # not plausible
+    block = '<div data-hook="review"><i data-hook="review-star-rating" aria-label="3.0 out of 5 stars"></i><div data-hook="review-body"><span class="c">no</span><span>yes</span></div><a data-hook="review-title"><span class="c">no</span><span class="d">last</span></a></div>'
+    one = page(block)["reviews"][0]
+    assert (one["stars"], one["body"], one["title"]) == ("3.0 out of 5 stars", "yes", "last")
+    assert page("<script>enter the characters you see below</script>")["interstitial"] is False
+    assert page('<form action="/errors/validateCaptcha"></form>')["interstitial"] and page("<p>Enter the characters you see below</p>")["interstitial"]
+    assert page('<input id="ASIN" value="b00abcdef1">')["dom_asin"] == "B00ABCDEF1" and page('<input id="ASIN" value="short"><i data-asin="B00ABCDEF2"></i>')["dom_asin"] is None
+
+
+def test_a_broken_review_costs_no_other(monkeypatch):
+    read = pages.read_review
+    monkeypatch.setattr(pages, "read_review", lambda block, place: read(block, place) if place else int("x"))
+    block = '<div data-hook="review" id="{}"></div>'
+    assert [r["id"] for r in pages.read_page(block.format("a") + block.format("b"))["reviews"]] == ["b"]
