@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -48,29 +49,38 @@ class Scratch:
     """Tables written in the shared folder to cut lineage.
 
     ``cut`` writes and rereads a DataFrame, so that a lost executor costs the
-    tasks it held and no earlier job.  Before it writes, Spark deletes the shuffle
-    files of earlier jobs, which nothing refers to by then.  ``drop`` deletes a table
-    no longer read.
+    tasks it held and no earlier job.  Before it writes, if the last table took over a
+    second, Spark deletes the shuffle files of earlier jobs, which nothing refers to by
+    then.  ``drop`` deletes a table
+    no longer read; what is left goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.took = 0, 0.0
+        path, files = self._file(self.root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def cut(self, df: DataFrame) -> DataFrame:
-        self.release()
+        if self.took > 1:
+            self.release()
         self.n += 1
-        path = f"{self.root}/{self.n}"
+        path, began = f"{self.root}/{self.n}", time.monotonic()
         df.write.option("compression", "zstd").parquet(path)
+        self.took = max(self.took if self.took <= 1 else 0.0, time.monotonic() - began)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._plumbline_path = path
         return out
 
+    def _file(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, df: DataFrame) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._plumbline_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._file(df._plumbline_path)
+        files.delete(path, True)
 
     def release(self) -> None:
         gc.collect()

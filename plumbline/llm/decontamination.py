@@ -12,7 +12,7 @@ their words, for each length that occurs.
 
 The benchmark's index is broadcast.  Its size is checked: a benchmark of more
 than ``block_bytes`` of text is dealt into blocks of about that size, and the
-texts pass by each block in turn; the rows are the same.
+texts pass by each block in turn, which gives out its hits alone; the rows are the same.
 
 Edge cases: a null or empty text has no words and no hits; an item with null id
 or text is left out; equal items each count; equal ids count once; an empty
@@ -21,6 +21,8 @@ benchmark hits nothing.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -150,25 +152,26 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-size // block_bytes))
     names = docs.columns if keep is None else keep
-    out, scratch, held = docs, Scratch(spark) if n > 1 else None, None
-    for k in range(n):
+    made = fresh(docs, "n_words", "spans", "items")
+    n_words, spans, hit = (F.col(m) for m in made)
+    fields = [T.StructField(m, f.dataType) for m, f in zip(made, RESULT, strict=True)]
+
+    def looked(table: DataFrame, k: int, kept: list[str]) -> DataFrame:
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
         rows = part.orderBy("id", "text").collect()  # at most about block_bytes
         index = spark.sparkContext.broadcast(Index([r["id"] for r in rows], [r["text"] for r in rows], window, gram))
-        made = fresh(out, "n_words", "spans", "items")
-        fields = [T.StructField(m, f.dataType) for m, f in zip(made, RESULT, strict=True)]
-        found = map_texts(out, text, _look(index), fields, list(dict.fromkeys([*names, *([text] if n > 1 else []), *([held] if held else [])])))
-        new = F.struct(*[F.col(m).alias(f.name) for m, f in zip(made, RESULT, strict=True)])
-        if held:
-            old = F.col(held)
-            covered = F.array_sort(F.concat(old["spans"], new["spans"]))
-            new = F.struct(old["n_words"].alias("n_words"), _merged(covered).alias("spans"), F.array_sort(F.array_distinct(F.concat(old["items"], new["items"]))).alias("items"))
-        to = fresh(found, "contamination")[0]
-        out = found.select(*[c for c in found.columns if c not in (*made, held)], new.alias(to))
-        held = to
-        if k < n - 1:
-            out = scratch.cut(out)
-    return out.select(*others(names, into), F.col(held).alias(into))
+        return map_texts(table, text, _look(index), fields, kept)
+
+    if n == 1:
+        found = looked(docs, 0, names)
+    else:  # only the hits of the further blocks are written, by the number of their row
+        scratch, (row, more_spans, more_items) = Scratch(spark), fresh(docs, "row", "more_spans", "more_items")
+        table = scratch.cut(docs.withColumn(row, F.monotonically_increasing_id()))
+        hits = [scratch.cut(looked(table, k, [row]).where(F.size(spans) > 0)) for k in range(1, n)]
+        more = functools.reduce(DataFrame.unionByName, hits).groupBy(row).agg(F.flatten(F.collect_list(spans)).alias(more_spans), F.flatten(F.collect_list(hit)).alias(more_items))
+        found = looked(table, 0, [*names, row]).join(more, row, "left")
+        spans, hit = F.when(F.col(more_spans).isNull(), spans).otherwise(_merged(F.array_sort(F.concat(spans, more_spans)))), F.when(F.col(more_items).isNull(), hit).otherwise(F.array_sort(F.array_distinct(F.concat(hit, more_items))))
+    return found.select(*others(names, into), F.struct(n_words.alias("n_words"), spans.alias("spans"), hit.alias("items")).alias(into))
 
 
 def _merged(spans):

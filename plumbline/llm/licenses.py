@@ -104,9 +104,9 @@ def directory(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(path.isNotNull(), F.lit("")))
 
 
-def _units(files: DataFrame) -> DataFrame:
+def _units(files: DataFrame, scratch: Scratch) -> DataFrame:
     """(file, kind, pos, unit) of the texts with a cue word."""
-    cued = files.where(F.col("text").rlike(CUE)).dropDuplicates(["file"])
+    cued = scratch.cut(files.where(F.col("text").rlike(CUE)).dropDuplicates(["file"]))
     of = lambda kind, between, several: cued.select("file", F.lit(kind).alias("kind"), F.posexplode(F.split("text", between)).alias("pos", "unit")).where(F.col("unit").rlike(CUE) & (F.col("unit").contains("\n") | F.lit(not several)))
     whole = cued.select("file", F.lit(WHOLE).alias("kind"), F.lit(0).alias("pos"), F.col("text").alias("unit"))
     return of(LINE, "\n", False).unionByName(of(BLOCK, PARAGRAPH, True)).unionByName(whole)
@@ -119,7 +119,7 @@ def _notices(files: DataFrame, scratch: Scratch) -> DataFrame:
     terms = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
     templates = F.broadcast(spark.createDataFrame(entries, "template int, license string, term string, weight double"))
     unit = ["file", "kind", "pos"]
-    tf = _units(files).select(*unit, F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(f"({TOKEN})"))).alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("tf"))
+    tf = _units(files, scratch).select(*unit, F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(f"({TOKEN})"))).alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("tf"))
     weighed = scratch.cut(tf.join(terms, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(rarest))))
     norms = weighed.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.where("idf is not null").join(templates, "term").groupBy(*unit, "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))

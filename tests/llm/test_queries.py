@@ -233,48 +233,56 @@ def alike(texts, grams, share=80):
     return first
 
 
-def test_pipeline(spark, folder):
+def test_pipeline(spark, folder, monkeypatch):
     path, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
+    seen = {}
+
+    def watched(name, stage):
+        def run(session, given, sf_dir):
+            out = stage(session, given, sf_dir)
+            seen[name] = out.columns, {r.doc_id: r for r in out.collect()}
+            return out
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(*s) for s in corpus_pipeline.STAGES])
+    result = {r.doc_id: (r.n_tokens, r.ids, r.exact) for r in corpus_pipeline.run(spark, path).collect()}
+    assert list(seen) == ["quality_rules", "line_dedup", "near_dedup", "decontaminate", "bpe_tokens"]
+    assert all(seen[name][0] == docs.columns for name in list(seen)[:-1])
+
     kept = {i for i, r in rows(queries.op2_quality_rules(spark, path)).items() if r.kept}
     left = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
-    stage = corpus_pipeline.quality_rules(spark, docs, path)
-    assert stage.columns == docs.columns and {r.doc_id: r.text for r in stage.collect()} == left
+    assert {i: r.text for i, r in seen["quality_rules"][1].items()} == left
 
     lines = [(i, k, x) for i in sorted(left) for k, x in enumerate(left[i].split("\n"))]
     worded = [p for p in lines if SPACED.search(p[2])]
     names = sorted({p[2] for p in worded})
     group = dict(zip(names, alike(names, lambda x: {x[k : k + 5] for k in range(max(len(x) - 4, 1))}), strict=True))
-    seen, gone = set(), set()
+    first, gone = set(), set()
     for i, k, x in worded:
-        if group[x] in seen:
+        if group[x] in first:
             gone.add((i, k))
-        seen.add(group[x])
+        first.add(group[x])
     left = {i: "\n".join(x for j, k, x in lines if j == i and (j, k) not in gone) for i in left}
-    stage = corpus_pipeline.line_dedup(spark, stage, path)
-    assert stage.columns == docs.columns and {r.doc_id: (r.text, r.n_chars) for r in stage.collect()} == {i: (t, len(t)) for i, t in left.items()}
+    assert {i: (r.text, r.n_chars) for i, r in seen["line_dedup"][1].items()} == {i: (t, len(t)) for i, t in left.items()}
 
     def shingles(text):
         w = SPACED.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
         return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
 
     order = sorted(left)
-    first = alike([left[i] for i in order], shingles)
-    left = {i: left[i] for k, i in enumerate(order) if first[k] == k}
-    stage = corpus_pipeline.near_dedup(spark, stage, path)
-    assert stage.columns == docs.columns and {r.doc_id for r in stage.collect()} == set(left)
-
-    bad = {i for i, r in rows(queries.op6_decontamination(spark, path)).items() if r.contaminated}
-    assert bad and not any(len(left[i].split("\n")) < 1 for i in left)
-    stage = corpus_pipeline.decontaminate(spark, stage, path)
+    group = alike([left[i] for i in order], shingles)
+    left = {i: left[i] for k, i in enumerate(order) if group[k] == k}
+    assert set(seen["near_dedup"][1]) == set(left)
+
     left = {i: t for i, t in left.items() if not hits(t)}
-    assert stage.columns == docs.columns and {r.doc_id for r in stage.collect()} == set(left)
+    assert set(seen["decontaminate"][1]) == set(left) < set(seen["near_dedup"][1])
 
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(queries.tokenizer_path())
     want = {i: library.encode(t, add_special_tokens=False).ids for i, t in left.items()}
-    for out in (corpus_pipeline.bpe_tokens(spark, stage, path), corpus_pipeline.run(spark, path)):
-        assert {r.doc_id: (r.n_tokens, r.ids, r.exact) for r in out.collect()} == {i: (len(x), x, True) for i, x in want.items()}
+    assert result == {i: (len(x), x, True) for i, x in want.items()}
 
 
 def hits(text):
