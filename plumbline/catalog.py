@@ -74,6 +74,11 @@ def phrase_hits(r):
     return r.select("review_id", tx.phrase_hits(T(), tx.INCENTIVE_PHRASES).alias("incentives"), tx.phrase_hits(T(), tx.TEMPLATE_PHRASES).alias("templates"))
 
 
+@query("v_reviews")
+def phrase_lists(r):
+    return r.select("review_id", F.array_join(tx.matched_phrases(T(), tx.INCENTIVE_PHRASES + tx.TEMPLATE_PHRASES), " | ").alias("phrases"))
+
+
 @query("v_reviews")
 def trigram_jaccard_pairs(r):
     a = r.select("asin", F.col("review_id").alias("a"), F.col("seq").alias("a_seq"), tx.trigrams(T()).alias("ga"))

@@ -133,6 +133,11 @@ def phrase_hits(text: Column, phrases: list[str]) -> Column:
     return bound(collapsed(text), lambda n: sum((n.contains(p).cast("long") for p in phrases[1:]), n.contains(phrases[0]).cast("long")))
 
 
+def matched_phrases(text: Column, phrases: list[str]) -> Column:
+    """The phrases that a text has, in their order."""
+    return bound(collapsed(text), lambda n: F.filter(F.array(*map(F.lit, phrases)), lambda p: n.contains(p)))
+
+
 def short_sha(value: Column) -> Column:
     return F.left(F.sha2(value, 256), F.lit(32))
 

@@ -95,24 +95,26 @@ def text_finding(reviews: DataFrame, templates: DataFrame, machines: DataFrame)
     return out.select("asin", "k", F.when(F.col("k") == 0, "pass").when(F.col("k") >= F.greatest(F.lit(2.0), 0.3 * F.col("n")), "fail").otherwise("warn").alias("status"))
 
 
-def shared_products(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(r1, r2, shared) of the given pairs of reviewers that have two products in common or more.
+def shared_products(edges: DataFrame, targets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(r1, r2, shared) of reviewers of targets that have two products in common or more.
 
     Products of up to HEAVY reviewers are joined with themselves, so that a product makes
-    a bounded number of pairs for each of its reviewers.  Of the others, a few at most
-    for each reviewer, a reviewer's list is compared with that of the other of the pair.
+    a bounded number of pairs for each of its reviewers.  Where there are others, they
+    count for the given ``pairs`` alone: the few that a reviewer has are compared with
+    those of the other of the pair.
     """
-    asked = pairs.select("r1", "r2").distinct()
-    takes_part = asked.select(F.explode(F.array("r1", "r2")).alias("reviewer")).distinct()
-    e = edges.select("reviewer", "asin").distinct().join(takes_part, "reviewer", "left_semi")
+    e = edges.select("reviewer", "asin").distinct().join(targets.select("reviewer").distinct(), "reviewer", "left_semi")
     heavy = e.groupBy("asin").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("asin")
-    light = e.join(heavy, "asin", "left_anti")
+    crowded = not heavy.isEmpty()
+    light = e.join(heavy, "asin", "left_anti") if crowded else e
     a, b = light.select(F.col("reviewer").alias("r1"), "asin"), light.select(F.col("reviewer").alias("r2"), "asin")
-    few = a.join(b, "asin").where("r1 < r2").groupBy("r1", "r2").agg(F.count("*").alias("shared"))
-    lists = e.join(heavy, "asin", "left_semi").groupBy("reviewer").agg(F.collect_set("asin").alias("products"))
-    of = lambda n: lists.select(F.col("reviewer").alias(f"r{n}"), F.col("products").alias(f"p{n}"))
-    many = asked.join(of(1), "r1").join(of(2), "r2").select("r1", "r2", F.size(F.array_intersect("p1", "p2")).cast("long").alias("shared"))
-    return few.unionByName(many).groupBy("r1", "r2").agg(F.sum("shared").alias("shared")).where("shared >= 2")
+    shared = a.join(b, "asin").where("r1 < r2").groupBy("r1", "r2").agg(F.count("*").alias("shared"))
+    if crowded:
+        lists = e.join(heavy, "asin", "left_semi").groupBy("reviewer").agg(F.collect_set("asin").alias("products"))
+        of = lambda n: lists.select(F.col("reviewer").alias(f"r{n}"), F.col("products").alias(f"p{n}"))
+        many = pairs.select("r1", "r2").distinct().join(of(1), "r1").join(of(2), "r2").select("r1", "r2", F.size(F.array_intersect("p1", "p2")).cast("long").alias("shared"))
+        shared = shared.unionByName(many).groupBy("r1", "r2").agg(F.sum("shared").alias("shared"))
+    return shared.where("shared >= 2")
 
 
 def reviewer_links(targets: DataFrame, edges: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def reviewer_links(targets: DataFrame, edges: DataFrame) -> DataFrame:
     own = t.join(held, ["asin", "reviewer"], "left")
     one = lambda n: own.select("asin", F.col("reviewer").alias(f"r{n}"), F.coalesce("own", F.lit(0)).alias(f"own{n}"))
     met = one(1).join(one(2), "asin").where("r1 < r2")
-    pairs = met.join(shared_products(edges, met), ["r1", "r2"])
+    pairs = met.join(shared_products(edges, targets, met), ["r1", "r2"])
     return pairs.withColumn("shared", F.col("shared") - F.col("own1") * F.col("own2")).where("shared >= 2").select("asin", "r1", "r2", "shared")
 
 

@@ -203,6 +203,7 @@ def build() -> dict[str, str]:
         "text_sentence_variation": f"with {MEASURED} select review_id, {r6('variation')} as variation, {r6('burstiness')} as burstiness from measured",
         "text_specificity": f"with {MEASURED} select review_id, specifics, short as specifics_short, {r6('case when words = 0 then 0 else contractions / words end')} as contractions from measured",
         "phrase_hits": f"with {MEASURED} select review_id, incentives, templates from measured",
+        "phrase_lists": f"select review_id, coalesce(array_to_string(list_filter([{', '.join(map(text, INCENTIVE_PHRASES + TEMPLATE_PHRASES))}], lambda p: contains({FLAT}, p)), ' | '), '') as phrases from v_reviews",
         "trigram_jaccard_pairs": f"with {GRAMS}, {PAIRS} select a, b, {r6('sim')} as sim from pairs where {r6('sim')} >= 0.55",
         "shingle_hashes": f"with {SHINGLES} select h as hash, count(*) as n from grams6 group by h",
         "review_key": f"select review_id, {KEY} as review_key from v_reviews",

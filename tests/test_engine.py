@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from plumbline import catalog
 from plumbline.functions import text as tx
 from plumbline.operators import corpus, scoring, signals, validation
-from plumbline.sources import pages
+from plumbline.sources import pages, store
 
 SF = "/root/testdata/sf0.001"
 
@@ -225,3 +225,26 @@ def test_a_broken_review_costs_no_other(monkeypatch):
     monkeypatch.setattr(pages, "read_review", lambda block, place: read(block, place) if place else int("x"))
     block = '<div data-hook="review" id="{}"></div>'
     assert [r["id"] for r in pages.read_page(block.format("a") + block.format("b"))["reviews"]] == ["b"]
+
+
+def test_store(spark, tmp_path):
+    held = store.Store(spark, str(tmp_path / "corpus"))
+    held.create()
+    assert [held.read(name).count() for name in store.TABLES] == [0] * len(store.TABLES)
+    seen = spark.createDataFrame([(2, "b", dt.datetime(2026, 1, 2), 4.0, 10, "t"), (1, "a", dt.datetime(2026, 1, 1), 4.0, 10, "t")], "obs_id long, asin string, observed_at timestamp, displayed_rating double, total_ratings long, title_hash string")
+    held.append("observations", seen)
+    held.append("observations", seen.where("asin = 'a'").withColumn("histogram", corpus.histogram_json(F.create_map(F.lit("5"), F.lit(80.0)))))
+    assert {(r.asin, r.histogram) for r in held.scan("observations", "a").collect()} == {("a", None), ("a", '{"5":80.0}')}
+    assert held.scan("observations", "a").count() == 2 and held.read("observations").count() == 3
+    assert "In(asin" in held.scan("observations", "a", "b")._jdf.queryExecution().executedPlan().toString()
+    held.create()
+    held.prune("observations", keep=1)
+    assert held.read("observations").count() == 3
+    cache = spark.createDataFrame([("a", "{}")], "asin string, payload string").withColumn("computed_at", F.expr("timestamp '2026-01-01'"))
+    held.replace("cache", corpus.write_cache(held.read("cache"), cache))
+    held.replace("cache", corpus.write_cache(held.read("cache"), cache.withColumn("payload", F.lit("{1}"))))
+    assert [r.payload for r in held.read("cache").collect()] == ["{1}"]
+
+
+def test_salts():
+    assert corpus.salt_fingerprint("a") == corpus.salt_fingerprint("a") != corpus.salt_fingerprint("b") and len(corpus.salt_fingerprint("a")) == 32
