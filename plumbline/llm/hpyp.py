@@ -16,10 +16,12 @@ its customers come back one by one: each sits at an old table with weight n - d
 opens one with weight (theta + d T_u) P(w), the dish's own tables being taken out of T_u
 and of the parent meanwhile.  The number seated before the next new table is drawn by
 inverting its distribution, a ratio of gamma functions, so a dish costs its tables and
-not its customers; a dish with one customer has one table and needs no draw.  The dishes
-of a context are reseated in ``STEPS`` steps by rank, each of which sees the tables of
-the steps before; so contexts of up to ``STEPS`` dishes are sampled one dish after the
-other.  After every sweep of the contexts all their tables are added up at the one shared
+not its customers; a dish with one customer has one table and needs no draw.  Where the
+next quarter of a dish's customers should open ``CROWD`` tables or more, their number is
+drawn at once, from the normal distribution with its mean and variance.  The dishes of a
+context are reseated in ``STEPS`` steps by rank, each of which sees the tables of the
+steps before, so contexts of up to ``STEPS`` dishes are sampled one dish after the other;
+those of over ``WIDE`` dishes, where one dish counts for little, in one step.  After every sweep of the contexts all their tables are added up at the one shared
 parent, whose dishes are reseated before the next sweep: within a sweep contexts see the
 parent of the sweep before, and the parent's dishes its total.  That is the usual
 approximation of distributed Gibbs samplers.
@@ -67,6 +69,7 @@ DISCOUNT, STRENGTH, TOP_DISCOUNT, TOP_STRENGTH = 0.75, 5.0, 0.6, 10.0
 SWEEPS, BURN, STEPS = 4, 1, 8
 KEPT = SWEEPS - BURN
 HOT = 1 << 20
+FEW, CROWD, WIDE = 8, 12, 64
 COUNTS, PAIRS, WORDS, TABLES, VALUES, FACTS, TOTALS, SEATS, PARENT, WANT, CONTEXTS = range(10, 21)
 M48 = U64((1 << 48) - 1)
 #: Symbols that no word hashes to by rule: the end of a text and what stands before its first word.
@@ -396,27 +399,65 @@ def reseat(customers: np.ndarray, weight, discount: float, key: np.ndarray) -> n
     n, step = np.ones(len(active)), 0
     while len(active):
         step += 1
-        u = np.log(_unit(tx.mix(key[active] + U64(step) * U64(0x9E3779B97F4A7C15))))
-        w, a = np.maximum(weight(active, tables[active]), 1e-300), n - discount * tables[active]
-        left, first = customers[active] - n, _rise(n - discount * tables[active], w)
-        opens = first - _rise(a + left, w) <= u  # otherwise no customer left opens a table
-        active, n, u, w, a, left, first = (x[opens] for x in (active, n, u, w, a, left, first))
-        low, high = np.zeros(len(active)), left - 1
-        while (low < high).any():  # the least number seated after which the next one opens
-            middle = np.floor((low + high) / 2)
-            yes = first - _rise(a + middle + 1, w) <= u
-            low, high = np.where(yes, low, np.minimum(middle + 1, high)), np.where(yes, middle, high)
-        n = n + low + 1
-        tables[active] += 1
-        active, n = active[n < customers[active]], n[n < customers[active]]
+        draw = tx.mix(key[active] + U64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        held, left = tables[active], customers[active] - n
+        w, a = np.maximum(weight(active, held), 1e-300), n - discount * held
+        many = np.minimum(np.floor(n / 4), left)
+        opened = w * np.log1p(many / (w + a))
+        slope = 1 - discount * opened / np.maximum(many, 1)  # new tables lower the weight of the old ones meanwhile
+        opened = w / slope * np.log1p(slope * many / (w + a))
+        crowd = np.flatnonzero(opened >= CROWD)
+        out = np.full(len(active), np.nan)
+        few = np.setdiff1d(np.arange(len(active)), crowd, assume_unique=True) if len(crowd) else slice(None)
+        seated = _seated(a[few], w[few], left[few], _unit(draw[few]))
+        out[few] = np.where(seated >= 0, n[few] + seated + 1, np.inf)
+        tables[active[few]] += seated >= 0
+        if len(crowd):
+            wide, mean, upto = w[crowd], opened[crowd], w[crowd] + a[crowd]
+            spread = np.sqrt(np.maximum(mean - wide * wide * (1 / upto - 1 / (upto + many[crowd])), 0))
+            normal = np.sqrt(-2 * np.log(_unit(draw[crowd]))) * np.cos(2 * np.pi * _unit(tx.mix(~draw[crowd])))
+            tables[active[crowd]] += np.clip(np.rint(mean + spread * normal), 0, many[crowd]).astype(np.int64)
+            out[crowd] = n[crowd] + many[crowd]
+        stay = out < customers[active]
+        active, n = active[stay], out[stay]
     return tables
 
 
+def _seated(a: np.ndarray, w: np.ndarray, left: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """How many customers sit at old tables (weight ``a``, one more each) before one opens a new one (weight ``w``); -1 if none of those left does.
+
+    The first ``FEW`` customers are followed one by one, the others by the logarithm of
+    the chance that none opens, a ratio of gamma functions, searched by halves.
+    """
+    out, go, chance = np.full(len(a), -1.0), np.arange(len(a)), np.ones(len(a))
+    for k in range(FEW):
+        chance = chance[: len(go)] * (a[go] + k) / (a[go] + k + w[go])
+        now = chance <= u[go]
+        out[go[now]] = k
+        stay = ~now & (left[go] > k + 1)
+        go, chance = go[stay], chance[stay]
+        if not len(go):
+            return out
+    a, w, left, u = a[go], w[go], left[go], np.log(u[go])
+    first = _rise(a, w)
+    opens = np.flatnonzero(first - _rise(a + left, w) <= u)
+    low, high = np.full(len(opens), float(FEW)), left[opens] - 1
+    search = np.flatnonzero(low < high)
+    while len(search):
+        own = opens[search]
+        middle = np.floor((low[search] + high[search]) / 2)
+        yes = first[own] - _rise(a[own] + middle + 1, w[own]) <= u[own]
+        high[search[yes]], low[search[~yes]] = middle[yes], middle[~yes] + 1
+        search = search[low[search] < high[search]]
+    out[go[opens]] = low
+    return out
+
+
 def steps_of(context: np.ndarray) -> np.ndarray:
     """The step of each dish, given the contexts of dishes in order."""
     begin, end = tx.runs(context)
     size = np.repeat(end - begin, end - begin)
-    return (np.arange(len(context)) - np.repeat(begin, end - begin)) * STEPS // np.maximum(size, 1)
+    return np.where(size > WIDE, 0, (np.arange(len(context)) - np.repeat(begin, end - begin)) * STEPS // np.maximum(size, 1))
 
 
 def seat_again(s: Seats, facts: list[list[bytes]], sweep: int, served: int, top_tables: int, vocabulary: int) -> Seats:
@@ -488,7 +529,7 @@ def sweep_parent(sweep: int, top_tables: int, vocabulary: int):
             np.add.at(guests, p.own, np.concatenate([np.frombuffer(w[1], np.int64) for w in sent]))
             np.add.at(opened, p.heat, np.concatenate([np.frombuffer(w[2], np.int64) for w in sent]))
         weight = lambda r, t: (TOP_STRENGTH + TOP_DISCOUNT * (top_tables - p.tables[r] + t)) / (vocabulary + 1)
-        tables = reseat(guests, weight, TOP_DISCOUNT, tx.mix(p.words + U64(sweep) * U64(0xD6E8FEB86659FD93)))
+        tables = reseat(guests, weight, TOP_DISCOUNT, tx.mix(p.words + U64(sweep * 0xD6E8FEB86659FD93 & (1 << 64) - 1)))
         top = np.concatenate([p.top, (guests - TOP_DISCOUNT * tables).astype(np.float32)]) if sweep >= BURN else p.top
         p = Parent(p.words, p.count, p.base, guests, tables, opened, top, p.who, p.own, p.cut, p.heat, p.heat_cut)
         yield from rows([p.row(bucket), p.totals()])

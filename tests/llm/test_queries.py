@@ -138,7 +138,7 @@ def brute_scores(texts):
             many = [w for w in own if pairs[u, w] > 1]
             opened = sum(t[u, w] for w in own)
             for step in range(hpyp.STEPS):
-                now, change = [w for k, w in enumerate(many) if k * hpyp.STEPS // len(many) == step], 0
+                now, change = [w for k, w in enumerate(many) if (k * hpyp.STEPS // len(many) if len(many) <= hpyp.WIDE else 0) == step], 0
                 for w in now:
                     held = t[u, w]
                     left = guests[w] - held
@@ -205,9 +205,9 @@ def test_hot_contexts_change_nothing(spark, folder, monkeypatch):
     assert all(split[i].score == pytest.approx(whole[i].score, rel=0.02) for i in whole)
 
 
-def test_new_tables_are_opened_as_often_as_customer_by_customer():
-    n, weight, discount = 40, 3.0, 0.75
-    chance = {1: 1.0}  # of each number of tables, after the first customer
+@pytest.mark.parametrize(("n", "weight"), [(40, 3.0), (400, 60.0)])
+def test_new_tables_are_opened_as_often_as_customer_by_customer(n, weight):
+    discount, chance = 0.75, {1: 1.0}  # the chance of each number of tables, after the first customer
     for c in range(1, n):
         nxt = Counter()
         for t, p in chance.items():
@@ -216,9 +216,11 @@ def test_new_tables_are_opened_as_often_as_customer_by_customer():
             nxt[t] += p * (1 - opens)
         chance = nxt
     mean = sum(t * p for t, p in chance.items())
+    spread = math.sqrt(sum((t - mean) ** 2 * p for t, p in chance.items()))
     key = hpyp.tx.mix(np.arange(20_000, dtype=np.uint64))
     got = hpyp.reseat(np.full(20_000, n), lambda r, t: np.full(len(r), weight), discount, key)
-    assert got.mean() == pytest.approx(mean, rel=0.02) and hpyp.reseat(np.array([1, 0]), None, discount, key[:2]).tolist() == [1, 0]
+    assert got.mean() == pytest.approx(mean, rel=0.02) and got.std() == pytest.approx(spread, rel=0.1)
+    assert hpyp.reseat(np.array([1, 0]), None, discount, key[:2]).tolist() == [1, 0]
 
 
 def alike(texts, grams, share=80):
