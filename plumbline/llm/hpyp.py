@@ -66,7 +66,7 @@ from plumbline.llm.repeats import DOCS, LAST, ROW, deal, dealt, ids_of, pack, ro
 
 U64 = np.uint64
 DISCOUNT, STRENGTH, TOP_DISCOUNT, TOP_STRENGTH = 0.75, 5.0, 0.6, 10.0
-SWEEPS, BURN, STEPS = 4, 1, 8
+SWEEPS, BURN, STEPS = 3, 1, 8
 KEPT = SWEEPS - BURN
 HOT = 1 << 20
 FEW, CROWD, WIDE = 8, 12, 64
@@ -189,7 +189,7 @@ def _wide(narrow: bytes, rest: bytes) -> np.ndarray:
     return out
 
 
-def _pair_rows(p: Part, n: int, hot: np.ndarray, lead: list, some: np.ndarray, told):
+def _pair_rows(p: Part, n: int, hot: np.ndarray, some: np.ndarray, told):
     """Rows of pairs for their buckets: contexts in runs, words, and what is ``told`` of each."""
     order, cut, a, b = pair_order(p, hot, n)
     for k in range(n):
@@ -197,7 +197,7 @@ def _pair_rows(p: Part, n: int, hot: np.ndarray, lead: list, some: np.ndarray, t
         own = own[some[own]]
         if len(own):
             x, y = tx.runs(a[own])
-            yield from rows([(k, PAIRS, pack(*lead, short(a[own][x] << U64(16)), (y - x).astype(np.uint32), short(b[own] << U64(16)), *told(own)))])
+            yield from rows([(k, PAIRS, pack(short(a[own][x] << U64(16)), *_narrow(y - x), short(b[own] << U64(16)), *told(own)))])
 
 
 def count_pairs(n: int, hot, modulus: int, remainder: int):
@@ -208,7 +208,7 @@ def count_pairs(n: int, hot, modulus: int, remainder: int):
             if batch.num_rows:
                 p = read_part([batch.column(1)], is_training(ids_of(batch.column(0)), modulus, remainder))
                 count = np.bincount(p.pair[p.trained], minlength=len(p.pairs))
-                yield from _pair_rows(p, n, hot.value, [], count > 0, lambda own, c=count: _narrow(c[own]))
+                yield from _pair_rows(p, n, hot.value, count > 0, lambda own, c=count: _narrow(c[own]))
 
     return run
 
@@ -216,8 +216,8 @@ def count_pairs(n: int, hot, modulus: int, remainder: int):
 def _read_pairs(sent: list[list[bytes]]) -> tuple[np.ndarray, ...]:
     """Of messages of pairs: the distinct contexts and words, the distinct pairs of their numbers, and the pair of each entry."""
     contexts, context = np.unique(np.concatenate([unshort(s[0]) for s in sent]), return_inverse=True)
-    context = np.repeat(context, np.concatenate([np.frombuffer(s[1], np.uint32) for s in sent]))
-    words, word = np.unique(np.concatenate([unshort(s[2]) for s in sent]), return_inverse=True)
+    context = np.repeat(context, np.concatenate([_wide(s[1], s[2]) for s in sent]))
+    words, word = np.unique(np.concatenate([unshort(s[3]) for s in sent]), return_inverse=True)
     keys, at = np.unique(context << 32 | word, return_inverse=True)
     return contexts >> U64(16), words >> U64(16), keys, at
 
@@ -278,7 +278,7 @@ def seat(n: int, hot):
             return
         contexts, words, keys, at = _read_pairs(sent)
         customers = np.zeros(len(keys), np.int64)
-        np.add.at(customers, at, np.concatenate([_wide(s[3], s[4]) for s in sent]))
+        np.add.at(customers, at, np.concatenate([_wide(s[4], s[5]) for s in sent]))
         context, word = keys >> 32, keys & 0xFFFFFFFF
         many = customers > 1
         alone, base = np.bincount(context[~many], minlength=len(contexts)), np.bincount(word[~many], minlength=len(words))
@@ -565,7 +565,7 @@ def ask(n: int, hot, modulus: int, remainder: int):
             return
         p = read_part(columns, np.concatenate(train))
         count = np.minimum(np.bincount(p.pair[p.trained], minlength=len(p.pairs)), 2).astype(np.uint8)
-        yield from _pair_rows(p, n, hot.value, [], np.ones(len(p.pairs), bool), lambda own: [count[own], np.array([part])])
+        yield from _pair_rows(p, n, hot.value, np.ones(len(p.pairs), bool), lambda own: [count[own], np.array([part])])
         order, cut = word_order(p, n)
         yield from rows([(k, WORDS, pack(np.array([part]), p.words[order[cut[k] : cut[k + 1]]])) for k in np.flatnonzero(np.diff(cut)).tolist()])
 
@@ -587,7 +587,7 @@ def answer(batches):
     if asked:
         own, words, keys, at = _read_pairs(asked)
         times = np.zeros(len(keys), np.int64)
-        np.add.at(times, at, np.concatenate([np.frombuffer(a[3], np.uint8) for a in asked]))
+        np.add.at(times, at, np.concatenate([np.frombuffer(a[4], np.uint8) for a in asked]))
         value = np.zeros(len(keys), np.float32)
         if s is not None and len(s.context):
             # Where the bucket's contexts and words stand in those asked for.
@@ -596,8 +596,8 @@ def answer(batches):
             value[np.searchsorted(keys, context[some] << 32 | word[some])] = s.customers[some] - DISCOUNT * s.kept[some] / KEPT
         few, spot = np.minimum(times, 2).astype(np.uint8), 0
         for a in asked:
-            size = len(a[2]) // 6
-            yield from rows([(int(np.frombuffer(a[4], np.int64)[0]), VALUES, pack(np.array([bucket]), few[own := at[spot : spot + size]], value[own[few[own] == 2]]))])
+            size = len(a[3]) // 6
+            yield from rows([(int(np.frombuffer(a[5], np.int64)[0]), VALUES, pack(np.array([bucket]), few[own := at[spot : spot + size]], value[own[few[own] == 2]]))])
             spot += size
     keys, *opened = _sum(contexts, *[np.int64] * KEPT)
     top = p.top.reshape(KEPT, -1) if p is not None else np.zeros((KEPT, 0))
@@ -717,6 +717,7 @@ def score(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", modulu
     told = dealt_by(asked.unionByName(seats).unionByName(seats.mapInArrow(send_contexts(n), ROW)).unionByName(parent.where(kind == PARENT)), answer)
     scratch.drop(seated)
     scratch.drop(parent)
+    scratch.release()
     both = dealt(read, n).unionByName(told, allowMissingColumns=True).repartitionById(n, part)
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     totals = Totals(tokens_, vocabulary, texts, tuple(served), tuple(tables))

@@ -213,6 +213,7 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shing
     links = scratch.cut(_rest(alone, known, read, shingle, percent, scratch))
     if not links.isEmpty():
         known = merged(known, links, scratch)
+    scratch.release()
     found = member.join(known.withColumnRenamed("id", "lead"), "lead", "left")
     return found.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "lead").alias("component_id"))
 

@@ -389,6 +389,7 @@ def find(docs: DataFrame, kind: Kind, resolve: Callable[[Contested], np.ndarray]
     both = dealt(read, n).unionByName(told, allowMissingColumns=True).repartitionById(n, part)
     sent = scratch.cut(both.mapInArrow(passages(kind, n), ROW).repartitionById(n, part).mapInArrow(contests(kind, n, resolve), ROW))
     scratch.drop(told)
+    scratch.release()
     return sent, n
 
 
