@@ -83,6 +83,8 @@ class Scratch:
         files.delete(path, True)
 
     def release(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs; the session refers to the last one until it runs another."""
+        self.spark.range(1).count()
         gc.collect()
         self.spark._jvm.System.gc()
 
