@@ -371,10 +371,12 @@ def contests(kind: Kind, n: int, resolve: Callable[[Contested], np.ndarray]):
             hit = resolve(own)
             which = np.repeat(np.arange(len(own.doc)), own.windows)
             start = own.begin[which] + np.arange(len(which)) - np.repeat(np.cumsum(own.windows) - own.windows, own.windows)
-            ids, row, start = own.doc[which[hit]], own.row[which[hit]], start[hit]
+            joined = hit[1:] & hit[:-1] & (which[1:] == which[:-1])  # consecutive windows of a passage make one span
+            first, last = np.flatnonzero(hit & ~np.append(False, joined)), np.flatnonzero(hit & ~np.append(joined, False))
+            ids, row, start, end = own.doc[which[first]], own.row[which[first]], start[first], start[last] + kind.length
             order, cut = deal(part_of_id(ids, n), n)
-            ids, row, start = ids[order], row[order], start[order]
-            yield from rows([_span_row(int(p), *(x[cut[p] : cut[p + 1]] for x in (ids, row, start, start + kind.length))) for p in np.flatnonzero(np.diff(cut))])
+            spans = [x[order] for x in (ids, row, start, end)]
+            yield from rows([_span_row(int(p), *(x[cut[p] : cut[p + 1]] for x in spans)) for p in np.flatnonzero(np.diff(cut))])
             i = j
 
     return run
