@@ -294,6 +294,18 @@ def test_ties_in_the_quality_threshold():
     assert quality.least_harm(same, same, 20) <= 1.0
 
 
+def test_quality_threshold_of_all_labelled_rows(spark):
+    """The cut of sorted ranges is that of all rows in one place, ties, single ranges and one-sided tables included."""
+    rng = np.random.default_rng(8)
+    tables = [(rng.normal(0.5, 1, 300), rng.normal(-0.5, 1, 400)), (rng.integers(0, 9, 200) / 4, rng.integers(-6, 5, 900) / 4), (np.array([1.0, 1.0]), np.array([1.0, -0.0])), (np.array([3.0]), np.array([1.0])), (np.array([1.0]), np.array([3.0] * 50)), (np.array([]), np.array([1.0]))]
+    tables.append((np.repeat(np.arange(0, 40, 2.0), 1), np.repeat(np.arange(-1, 39, 2.0), 20)))  # every second cut is a best one
+    for good, bad in tables:
+        rows = [(quality.JUDGED_GOOD, float(x)) for x in good] + [(quality.JUDGED_BAD, float(x)) for x in bad]
+        seen = spark.createDataFrame(rows, "role int, score double").repartition(3)
+        assert quality.least_harm_of(seen, 20) == quality.least_harm(good, bad, 20)
+    assert not hasattr(quality, "MAX_LABELLED")
+
+
 def test_shared_members():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 20_000, n).astype(np.uint64)) for n in (0, 1, 5000, 9000, 9000)]
