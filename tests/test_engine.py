@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline import catalog
 from plumbline.functions import text as tx
-from plumbline.operators import corpus, scoring, signals, validation
+from plumbline.operators import corpus, frequent, scoring, signals, validation
 from plumbline.sources import pages, store
 
 SF = "/root/testdata/sf0.001"
@@ -80,6 +80,25 @@ def test_upsert_of_copies_does_not_depend_on_their_order(spark):
         assert (again.rating, again.helpful_votes, again.last_seen) == (1, 11, dt.date(2026, 2, 1))
 
 
+def test_shared_keys_are_found_without_dealing_rows(spark, monkeypatch):
+    """Rows of shared keys, in ranges of few keys, are those of a plain count."""
+    monkeypatch.setattr(frequent, "PACKED", 50)
+    monkeypatch.setattr(frequent, "BROADCAST", 40)
+    rows = spark.createDataFrame([(f"k{i % 97 if i % 3 else i}", i) for i in range(900)] + [(None, 1)], "k string, i long").repartition(5)
+    plain = {r.k for r in rows.groupBy("k").count().where("count >= 3 and k is not null").collect()}
+    tables = [t.collect() for t in frequent.of_shared_keys(rows, F.when(F.col("k").isNotNull(), F.xxhash64("k")), 3)]
+    got = [tuple(r) for t in tables for r in t]
+    assert len(tables) > 1 and sorted(got) == sorted(tuple(r) for r in rows.collect() if r.k in plain)
+    assert list(frequent.of_shared_keys(rows.limit(0), F.xxhash64("k"), 3))[0].count() == 0
+
+
+def test_phrases_by_product_need_one_shuffle(spark):
+    reviews = spark.read.parquet(f"{SF}/documents.parquet").select("text", F.concat(F.lit("a"), F.col("doc_id") % 7).alias("asin"))
+    counted = corpus.count_sightings(corpus.shingle_rows(corpus.by_product(reviews), F.lit("2026-01-01").cast("date")))
+    assert counted._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 1
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_golden_numbers(spark):
     for n, want in ((1, 0.212746), (8, 0.674389), (25, 1.0)):
         assert one(spark, scoring.sample_confidence(F.col("v0")), float(n)) == pytest.approx(want, abs=1e-6)
