@@ -256,6 +256,31 @@ def test_toxicity_sample_is_bounded_in_bytes(spark):
     assert sum(map(len, table["text"].to_pylist())) <= 400 and 3 not in table["id"].to_pylist() and table.num_rows == 8
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    """Whatever the driver's first sample holds, and however many shards there are."""
+    rows = [(i, prose(i, 30) + (" vile words" if i % 3 == 0 else "")) for i in range(360)]
+    df = spark.createDataFrame([*rows, (0, None)], SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    for size in (1 << 20, 20_000):
+        model = toxicity.fit(df, labels, lang=None, max_positive=2, max_negative=2, shard_bytes=size)
+        found = {r.doc_id: r.toxicity.score for r in toxicity.classify(df, model, lang=None).collect() if r.doc_id}
+        assert sum((found[i] >= 0.5) == (i % 3 == 0) for i in range(300, 360)) >= 57
+
+
+def test_toxicity_thresholds_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    seen = [(lang, float(s) / 50, int(rng.random() < s / 60)) for lang, n in (("a", 400), ("b", 90), ("", 8)) for s in rng.integers(0, 50, n)]
+    found = toxicity._thresholds(spark.createDataFrame(seen, "lang string, score double, y int"), 20, 0.7, Scratch(spark))
+    want = {"": 0.7}
+    for lang in ("a", "b"):
+        own = [(s, y) for x, s, y in seen if x == lang]
+        at = sorted({s for s, _ in own}, reverse=True)
+        f1 = [2 * sum(y for s, y in own if s >= t) / (sum(s >= t for s, _ in own) + sum(y for _, y in own)) for t in at]
+        k = int(np.argmax(f1))
+        want[lang] = (at[k] + [*at, 0.0][k + 1]) / 2
+    assert found == want
+
+
 def test_quality_joins_when_labels_are_many(spark):
     texts = [(i, prose(i, 100) if i % 3 else " ".join(f"{w}***" for w in prose(i, 100).split())) for i in range(60)]
     df, labels = spark.createDataFrame(texts, SCHEMA), spark.createDataFrame([(i, int(i % 3 > 0)) for i, _ in texts], "doc_id long, quality int")
