@@ -355,3 +355,14 @@ def test_line_edge_cases(spark):
     got = sorted((r.doc_id, r.text) for r in lines.dedup(spark.createDataFrame(rows, SCHEMA)).collect())
     kept = [t for i, t in got if i == 1]
     assert sorted(map(len, kept)) == [0, 29] and dict(got)[3] == "" and dict(got)[4] == "\n\n" and dict(got)[5] == "é😀日本" * 30 and dict(got)[7] == ""
+
+
+def test_line_dedup_leaves_one_table(spark, monkeypatch):
+    """What the next stages do not read is gone before they begin."""
+    made = []
+    monkeypatch.setattr(lines, "Scratch", lambda session: made.append(Scratch(session)) or made[0])
+    docs = spark.createDataFrame([(1, "one line of some length\nother words altogether here"), (2, "one line of some length\na third line that is new")], "doc_id long, text string")
+    got = lines.dedup(docs)
+    path, files = made[0]._file(made[0].root)
+    assert len(files.listStatus(path)) == 1
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "one line of some length\nother words altogether here", 2: "a third line that is new"}
