@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from plumbline.llm import automata, bpe, decontamination, graph, hpyp, licenses, lines, neardup, quality, suffixes, toxicity
+from plumbline.llm import automata, bpe, cluster, decontamination, graph, hpyp, licenses, lines, neardup, quality, suffixes, toxicity
 from plumbline.llm.cluster import Scratch
 
 SCHEMA = "doc_id long, text string"
@@ -366,3 +366,31 @@ def test_line_dedup_leaves_one_table(spark, monkeypatch):
     path, files = made[0]._file(made[0].root)
     assert len(files.listStatus(path)) == 1
     assert {r.doc_id: r.text for r in got.collect()} == {1: "one line of some length\nother words altogether here", 2: "a third line that is new"}
+
+
+def test_line_dedup_keeps_no_band_keys(spark, monkeypatch):
+    """Once buckets are formed, the keys of all lines are gone, and written tables are not counted again."""
+    seen, verified = [], lines.verified
+
+    def watched(pairs, texts, scratch):
+        path, files = scratch._file(scratch.root)
+        seen.extend(spark.read.parquet(f.getPath().toString()).columns for f in files.listStatus(path))
+        return verified(pairs, texts, scratch)
+
+    monkeypatch.setattr(lines, "verified", watched)
+    base = prose(5, 60)
+    docs = spark.createDataFrame([(i, base.replace(base[100:103], f"q{i}")) for i in range(6)] + [(9, prose(8, 60))], SCHEMA)
+    assert {r.doc_id: len(r.text) > 0 for r in lines.dedup(docs).collect()} == {0: True, 1: False, 2: False, 3: False, 4: False, 5: False, 9: True}
+    assert seen and not any("bands" in columns for columns in seen)
+
+
+def test_written_tables_know_their_rows(spark, monkeypatch):
+    scratch = Scratch(spark)
+    tables = [scratch.cut(df) for df in (spark.range(7), spark.range(7).where("id > 9"), spark.range(9).repartition(3).groupBy("id").count())]
+    whole = scratch.together(tables[:2])
+    monkeypatch.setattr(type(whole), "limit", None)
+    monkeypatch.setattr(type(whole), "isEmpty", None)
+    assert [cluster.if_few(t) is not t for t in (*tables, whole)] == [True] * 4
+    assert [cluster.is_empty(t) for t in (*tables, whole)] == [False, True, False, False]
+    monkeypatch.undo()
+    assert sorted(r.id for r in whole.collect()) == list(range(7))
