@@ -21,7 +21,9 @@ of ``percent`` / 100 or more; near-duplicate groups are the components.
    candidates are dealt in chunks, each streamed past the hub's set.  Most copies are
    linked by then.
 4. The exact rest: buckets that still hold several components are dealt in blocks of
-   ``BLOCK`` members.  First only sizes and band keys travel: a pair counts where it is
+   ``BLOCK`` members.  In a larger bucket the component of the most members has blocks of
+   its own, which meet those of the others and not each other, as its members need no
+   comparison among themselves.  First only sizes and band keys travel: a pair counts where it is
    of different components, its sizes allow the similarity and no earlier band has it.
    Then the members of such pairs meet once more with their texts, and the full sets of
    a block are compared inside a task, which gives out a forest of the links.  Members
@@ -41,8 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import text as tx
-from plumbline.llm.cluster import Scratch, if_few, partitions
-from plumbline.llm.graph import components, merged
+from plumbline.llm.cluster import Scratch, if_few, is_empty, partitions
+from plumbline.llm.graph import blocks, components, dealt, merged
 
 SHINGLE, PERCENT, BINS, BANDS, CHUNK = 5, 80, 128, 32, 128
 SMALL, PERMUTATIONS, BLOCK, COLUMNS = 384, 2, 1024, 4096
@@ -211,7 +213,7 @@ def groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shing
     asked = scratch.cut(stars.select(F.col("hub").alias("a"), F.col("id").alias("b")))
     known = components(scratch.cut(confirm(asked, read, shingle, percent, scratch)), scratch)
     links = scratch.cut(_rest(alone, known, read, shingle, percent, scratch))
-    if not links.isEmpty():
+    if not is_empty(links):
         known = merged(known, links, scratch)
     scratch.release()
     found = member.join(known.withColumnRenamed("id", "lead"), "lead", "left")
@@ -227,12 +229,11 @@ def _rest(alone: DataFrame, known: DataFrame, texts: DataFrame, shingle: int, pe
     """A forest (``a``, ``b``) of the links between components that share a bucket."""
     n, block = partitions(alone.sparkSession), ["key", "first", "second"]
     within = _named(alone.select("id", "bands"), known).select("id", "g", F.explode("bands").alias("key"))
-    mixed = scratch.cut(within.groupBy("key").agg(F.min("g").alias("least"), F.max("g").alias("most"), F.count("*").alias("size")).where("least <> most").select("key", F.floor((F.col("size") - 1) / BLOCK).cast("int").alias("last")))
-    own = F.pmod(F.xxhash64("id", "key"), F.col("last") + 1).cast("int")
-    blocked = within.join(if_few(mixed), "key").select("key", "id", "g", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other"))
-    dealt = blocked.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "id", "g").join(alone, "id").select(*block, "own", "id", "g", "n", "bands")
+    mixed = blocks(within, "key", BLOCK, scratch)
+    blocked = dealt(within.join(if_few(mixed), "key"), "key", "id")
+    told = blocked.select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "id", "g").join(alone, "id").select(*block, "own", "id", "g", "n", "bands")
     kind = "key long, first int, second int, own int, id long, g long"
-    met = scratch.cut(dealt.repartition(n, *block).sortWithinPartitions(*block).mapInArrow(_by_block(lambda rows: _meeting(rows, percent)), kind))
+    met = scratch.cut(told.repartition(n, *block).sortWithinPartitions(*block).mapInArrow(_by_block(lambda rows: _meeting(rows, percent)), kind))
     read = _only(texts, scratch.cut(met.select("id").distinct()))
     return met.join(read, "id").select(*block, "own", "id", "g", "text").repartition(n, *block).sortWithinPartitions(*block).mapInArrow(_by_block(lambda rows: _linked(rows, shingle, percent)), "a long, b long")
 

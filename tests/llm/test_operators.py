@@ -394,3 +394,18 @@ def test_written_tables_know_their_rows(spark, monkeypatch):
     assert [cluster.is_empty(t) for t in (*tables, whole)] == [False, True, False, False]
     monkeypatch.undo()
     assert sorted(r.id for r in whole.collect()) == list(range(7))
+
+
+def test_large_component_is_not_dealt_to_its_own_blocks(spark):
+    """Every pair of two components meets, at a row or a few for each member and not one for each block."""
+    group = {i: 0 if i < 300 else i for i in range(304)} | {i: i % 5 for i in range(400, 480)}
+    bucket = lambda i: 1 if i < 400 else 2
+    members = spark.createDataFrame([(bucket(i), i, g) for i, g in group.items()], "key long, id long, g long")
+    found = graph.dealt(members.join(graph.blocks(members, "key", 16, Scratch(spark)), "key"), "key", "id").collect()
+    assert sum(r.key == 1 for r in found) <= 300 + 4 * 20
+    at = {}
+    for r in found:
+        at.setdefault((r.key, min(r.own, r.other), max(r.own, r.other)), []).append((r.id, r.own))
+    met = [(a, b) for (_, low, high), rows in at.items() for a, x in rows for b, y in rows if a < b and group[a] != group[b] and (low == high or x != y)]
+    want = {(a, b) for a in group for b in group if a < b and group[a] != group[b] and bucket(a) == bucket(b)}
+    assert len(met) == len(set(met)) and set(met) == want
