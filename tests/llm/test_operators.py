@@ -409,3 +409,20 @@ def test_large_component_is_not_dealt_to_its_own_blocks(spark):
     met = [(a, b) for (_, low, high), rows in at.items() for a, x in rows for b, y in rows if a < b and group[a] != group[b] and (low == high or x != y)]
     want = {(a, b) for a in group for b in group if a < b and group[a] != group[b] and bucket(a) == bucket(b)}
     assert len(met) == len(set(met)) and set(met) == want
+
+
+def test_toxicity_shards_are_files(spark):
+    """The texts are dealt once; every later pass reads the shards as they were written."""
+    df = spark.createDataFrame([(i, prose(i, 30)) for i in range(200)] + [(3, None)], SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(190)], "doc_id long, toxic int")
+    scratch = Scratch(spark)
+    labelled = toxicity._labelled(df, labels, "text", "doc_id", "toxic", None, None, 5000, scratch)
+
+    def work(shard, read, rows):
+        yield rows.select(["id", "shard"]).combine_chunks().to_batches()[0]
+
+    passed = toxicity._by_shard(labelled, work, "id long, shard int")
+    assert "Exchange" not in passed._jdf.queryExecution().executedPlan().toString()
+    rows = [(r.id, r.shard) for r in passed.collect()]
+    assert sorted(i for i, _ in rows) == list(range(190)) and len({s for _, s in rows}) > 4
+    assert all(len({s for j, s in rows if j == i}) == 1 for i in range(190))
